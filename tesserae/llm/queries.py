@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import substring_dedup
+from tesserae.llm import decontaminate, simhash, substring_dedup, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +33,48 @@ SELECT n.doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - coalesce(c, 0) AS BIGINT
 FROM n LEFT JOIN kept ON kept.doc_id = n.doc_id
 """
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    n_items = F.size("items").cast("long")
+    return found.select("doc_id", "n_words", "n_hit", n_items.alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_items >= 2).alias("contaminated"))
+
+
+_OP2 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ -/:-`{-]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ -/:-`{-]+') AS ws FROM benchmark),
+p AS (
+  SELECT DISTINCT item_id, array_to_string(ws[i:i + 7], ' ') AS pat, least(8, len(ws)) AS width
+  FROM b, unnest(generate_series(1, greatest(len(ws) - 7, 1))) AS t(i) WHERE len(ws) > 0),
+widths AS (SELECT DISTINCT width FROM p),
+win AS (SELECT doc_id, i, width, array_to_string(ws[i:i + width - 1], ' ') AS pat FROM w, widths, unnest(generate_series(1, len(ws) - width + 1)) AS t(i) WHERE len(ws) >= width),
+hit AS (SELECT doc_id, i, win.width, item_id FROM win JOIN p ON p.pat = win.pat AND p.width = win.width),
+words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM hit, unnest(generate_series(i, i + width - 1)) AS t(k) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS txt FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(txt, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM w LEFT JOIN words ON words.doc_id = w.doc_id LEFT JOIN items ON items.doc_id = w.doc_id
+"""
+
+
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    written = token_output.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_output.read_documents(spark, *written)
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_token_output": op3_token_output,
+    "op5_simhash": op5_simhash,
 }
-_SQL: dict[str, str] = {"op1_substring_dedup": _OP1}
+_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op2_decontaminate": _OP2}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
