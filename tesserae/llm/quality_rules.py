@@ -65,7 +65,9 @@ def base_figures(df: DataFrame, text: Column, keep: list[str]) -> DataFrame:
     alike = F.filter("s", lambda x, k: F.coalesce(F.get("s", k + 1)["h"] == x["h"], F.lit(False)) | ((k > 0) & F.coalesce(F.get("s", k - 1)["h"] == x["h"], F.lit(False))))
     d = d.select("row", "t", *BASE[:4], F.sort_array(F.transform(alike, lambda x: x["i"])).alias("at"))
     steps = F.zip_with("at", F.slice("at", 2, F.greatest(F.size("at"), F.lit(1))), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))  # words that a window adds before the next
-    return d.select("row.*", "t", *BASE[:4], F.coalesce(F.aggregate(steps, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long").alias("n_repeat_words"))
+    repeated = F.coalesce(F.aggregate(steps, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")
+    here = F.monotonically_increasing_id() >= 0  # always true, but no filter on the figures moves below it into the lambdas, where it would compute arrays per element
+    return d.select("row.*", "t", *BASE[:4], F.when(here, repeated).alias("n_repeat_words"))
 
 
 def order_rules(figures: DataFrame, rules=RULES) -> list[tuple[Rule, float, float]]:
