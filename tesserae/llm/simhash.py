@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.components import connected_components
@@ -117,7 +117,7 @@ def linked(key: np.ndarray, role: np.ndarray, f: np.ndarray, bits: int) -> tuple
         i, j = i[ok], j[ok]
         ok = label[node[i]] != label[node[j]]  # those already in one tree need no other link
         i, j = i[ok], j[ok]
-        ok = np.bitwise_count(f[i] ^ f[j]) <= bits
+        ok = np.bitwise_count((f[i] ^ f[j]).view(np.uint64)) <= bits
         label = _united(label, node[i[ok]], node[j[ok]])
         lag += 1
         at = at[at + lag < len(key)]
@@ -161,7 +161,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, shingle: int = 4, bits: int = MAX_BITS) -> DataFrame:
-    """Documents (by ``doc_id``) that are the smallest of their group, one row each; rows without an id are kept."""
+    """Documents (by ``doc_id``) that are the smallest of their group, one row each (of rows that repeat an id, that of the least text); rows without an id are kept."""
     kept = near_duplicates(docs, shingle=shingle, bits=bits).where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    named = rows.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
+    first = named.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("rn = 1")
+    return first.select("row.*").unionByName(docs.where("doc_id IS NULL"))

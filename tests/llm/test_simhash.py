@@ -82,6 +82,13 @@ def test_codewords():
             assert set(index[i][valid[i]]) & set(other[i][ok[i]])
 
 
+def test_links_over_every_bit():
+    f = np.array([0, *(1 << k for k in range(63)), -(2**63)], np.int64)  # each one bit from the first
+    key, row = _keys(f)
+    a, b = linked(key >> 2, (key & 3).astype(np.int8), f[row], 1)
+    assert len(a) == 64
+
+
 def test_forest_of_a_large_group_is_small():
     f = np.arange(512).astype(np.int64)
     a, b = linked(np.zeros(512, np.int64), np.zeros(512, np.int8), f, 4)
