@@ -147,6 +147,20 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str =
     return found.select("row.*", "n_words", "n_hit", "items", "word_spans", "spans")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = 8) -> DataFrame:
+    """Documents with passages of fewer than two items, those passages cut out of the text and ``n_chars`` counted anew; other columns and documents as they are."""
+    found = scan(docs.select(F.struct("*").alias("doc"), "text"), benchmark, ["doc"], width=width).where(F.size("items") < 2)
+    text = F.col("doc.text")
+    parts = F.zip_with(
+        F.concat(F.array(F.lit(0)), F.transform("spans", lambda x: x["end"])),
+        F.concat(F.transform("spans", lambda x: x["start"]), F.array(F.length(text))),
+        lambda a, b: F.substring(text, a + 1, b - a),
+    )
+    cut = found.withColumn("cut", F.when(F.size("spans") > 0, F.array_join(parts, "")).otherwise(text))
+    changed = {"text": F.col("cut"), "n_chars": F.when(F.size("spans") > 0, F.length("cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))} if "n_chars" in docs.columns else {"text": F.col("cut")}
+    return cut.select(*(changed[c].alias(c) if c in changed else F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
+
+
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[object, str | None]], width: int = 8):
     """The plain definition, for tests: {doc: (n_words, n_hit, sorted items, sha256)}."""
     out = {}
