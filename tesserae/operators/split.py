@@ -20,7 +20,7 @@ def unknown_classes(counts: DataFrame, target: DataFrame, seed: int, label: str
     """
     w = Window.orderBy(order_key(seed, label), label).rowsBetween(Window.unboundedPreceding, 0)
     before = F.sum("n").over(w) - F.col("n")
-    return counts.select(label, "n", before.alias("before")).crossJoin(F.broadcast(target)).where(F.col("before") < F.col("target")).select(label)
+    return counts.select(label, "n", before.alias("before")).crossJoin(target).where(F.col("before") < F.col("target")).select(label)
 
 
 def ratio_split(df: DataFrame, id_col: str, label: str, unknown: float, test: float, val: float, seed: int) -> DataFrame:
@@ -32,7 +32,7 @@ def ratio_split(df: DataFrame, id_col: str, label: str, unknown: float, test: fl
     away = unknown_classes(counts, target, seed, label).withColumn("is_unknown", F.lit(True))
     by_class = Window.partitionBy(label)
     ranked = (
-        df.join(F.broadcast(away), label, "left")  # one row a class
+        df.join(away, label, "left")  # a row a class: adaptive execution broadcasts it if it is small
         .withColumn("rn", F.row_number().over(by_class.orderBy(order_key(seed, id_col), id_col)))
         .withColumn("n", F.count("*").over(by_class))
         .withColumn("n_test", F.bround(F.col("n") * test))
@@ -45,3 +45,27 @@ def ratio_split(df: DataFrame, id_col: str, label: str, unknown: float, test: fl
         .otherwise("train")
     )
     return ranked.withColumn("split", split).drop("is_unknown", "rn", "n", "n_test", "n_val")
+
+
+def count_split(df: DataFrame, id_col: str, label: str, unknown: int, test: int, least: int, most: int, val: int, seed: int) -> DataFrame:
+    """Split by counts: unknown classes as in ``ratio_split``; the first ``test`` rows of the others, by class and then in shuffled order; of the
+    classes that still have ``least`` rows, ``most`` rows at most each, of which the first ``val`` are validation. Rows beyond are left out."""
+    df = df.where(F.col(label).isNotNull())
+    away = unknown_classes(df.groupBy(label).agg(F.count("*").alias("n")), df.sparkSession.range(1).select(F.lit(unknown).alias("target")), seed, label)
+    known = _numbered(df.join(away, label, "left_anti"), label, [label, order_key(seed, id_col), F.col(id_col)])
+    by_class = Window.partitionBy(label)
+    rest = known.where(F.col("rn") > test).withColumn("n", F.count("*").over(by_class)).withColumn("k", F.row_number().over(by_class.orderBy("rn")))
+    rest = _numbered(rest.where((F.col("n") >= least) & (F.col("k") <= most)).withColumnRenamed("rn", "first"), label, [label, F.col("first")])
+    cols = [*(F.col(c) for c in df.columns)]
+    return (
+        df.join(away, label, "left_semi").select(*cols, F.lit("test.unknown").alias("split"))
+        .unionByName(known.where(F.col("rn") <= test).select(*cols, F.lit("test.known").alias("split")))
+        .unionByName(rest.select(*cols, F.when(F.col("rn") <= val, "val").otherwise("train").alias("split")))
+    )
+
+
+def _numbered(df: DataFrame, label: str, order: list) -> DataFrame:
+    """``rn``: the row's number over all classes in the order of labels. Rows are ranked within their class and shifted by the classes before, so no task holds all rows."""
+    counts = df.groupBy(label).agg(F.count("*").alias("size"))
+    before = counts.withColumn("before", F.sum("size").over(Window.orderBy(label).rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).select(label, "before")
+    return df.withColumn("rn", F.row_number().over(Window.partitionBy(label).orderBy(*order))).join(before, label).withColumn("rn", F.col("rn") + F.col("before")).drop("before")
