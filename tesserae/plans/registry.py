@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("splits", "images")
+_MODULES = ("splits", "images", "boxes", "metrics")
 
 
 def query(name: str, sql: str | None = None):
