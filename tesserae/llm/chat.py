@@ -112,7 +112,7 @@ def format_turns(chats: DataFrame, trained: str = "assistant") -> DataFrame:
 
 def read_turns(formatted: DataFrame) -> DataFrame:
     """Adds ``read`` (turns, unescaped) and ``loss_text`` (all text under the loss spans, unescaped) from ``formatted`` and ``loss`` alone."""
-    d = formatted.withColumn("parts", F.slice(F.split("formatted", START.replace("|", r"\|")), 2, 2**31 - 1))
+    d = formatted.withColumn("parts", F.slice(F.split("formatted", START.replace("|", r"\|")), 2, 1 << 30))
     shape = rf"(?s)^(.*?){MESSAGE}(.*){END}$".replace("|", r"\|")
     turns = F.transform("parts", lambda p: F.struct(unescaped(F.regexp_extract(p, shape, 1)).alias("role"), unescaped(F.regexp_extract(p, shape, 2)).alias("text")))
     masked = F.transform("loss", lambda s: F.substring(F.get("parts", s["turn"]), s["start_in_turn"] - len(START) + 1, s["length"]))
