@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.labelled import held_out, sigmoid, training_rows
+from tesserae.llm.shared import checkpointed
 from tesserae.llm.words import U, Words, mix
 
 #: Lower-cased letters, digits and non-ASCII bytes; sentence ends and line ends become line ends, the rest spaces.
@@ -59,14 +60,14 @@ def _toxic_features(batches):
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(groups(w))], ["f", "g"])
 
 
-def candidates(documents: list[tuple[str, np.ndarray]], base: float) -> tuple[np.ndarray, int]:
-    """Features that enough toxic documents (group, features) have, and how many features there were.
+def candidates(documents: list[tuple[str, np.ndarray]], base: float) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """Features that enough toxic documents (group, features) have, how many have each, how many documents and how many features there were.
 
     Near copies count as one document together, so that words of a copied text don't pass for a cause.
     """
     documents = [(g, f) for g, f in documents if len(f)]
     if not documents:
-        return np.zeros(0, np.uint32), 0
+        return np.zeros(0, np.uint32), np.zeros(0), 0.0, 0
     _, of = np.unique([g for g, _ in documents], return_inverse=True)
     size = np.bincount(of)
     every = np.concatenate([f for _, f in documents])
@@ -74,7 +75,8 @@ def candidates(documents: list[tuple[str, np.ndarray]], base: float) -> tuple[np
     n1 = np.bincount(col, np.repeat(1.0 / size[of], [len(f) for _, f in documents]))
     ok = (n1 * -np.log(base) > np.log(len(features)) + 5.0) & (features != _NONE)
     least = np.sort(n1[ok])[-MOST_CANDIDATES] if ok.sum() > MOST_CANDIDATES else 0.0
-    return features[ok & (n1 >= least)], len(features)
+    ok &= n1 >= least
+    return features[ok], n1[ok], float((1.0 / size[of]).sum()), len(features)
 
 
 def columns(f: np.ndarray, features: np.ndarray) -> np.ndarray:
@@ -98,38 +100,50 @@ def hits(f: list[np.ndarray], s: np.ndarray, features: np.ndarray) -> tuple[np.n
     return row[order], col[order]
 
 
+def _clean_counts(shared):
+    """How many clean documents of a partition have each candidate: one row."""
+
+    def count(batches):
+        features, total, n = shared.value, np.zeros(len(shared.value), np.int64), 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                t = batch.slice(at, 128)
+                f, _, _, w = bags(t.column("text").to_pylist())
+                row, col = hits(f, w.text_of(), features)
+                total += np.bincount(np.unique(row * len(features) + col) % max(len(features), 1), minlength=len(features))
+                n += t.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()], pa.binary()), pa.array([n], pa.int64())], ["n0", "n"])
+
+    return count
+
+
+def chosen(n1: np.ndarray, toxic: float, n0: np.ndarray, clean: float, tested: int) -> np.ndarray:
+    """Columns whose share of toxic documents is above the base rate by more than the best of ``tested`` would reach by chance, the strongest at most."""
+    base, n = toxic / (toxic + clean), n0 + n1
+    q = np.clip(n1 / np.maximum(n, 1e-12), 1e-9, 1 - 1e-9)
+    gain = np.where(q > base, n * (q * np.log(q / base) + (1 - q) * np.log((1 - q) / (1 - base))), 0.0)
+    good = np.flatnonzero(gain > np.log(max(tested, 2)) + 5.0)
+    return np.sort(good[np.argsort(-gain[good], kind="stable")[:MOST_FEATURES]])
+
+
 def _hit(shared):
     def find(batches):
         features = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 t = batch.slice(at, 128)
-                f, s, of, w = bags(t.column("text").to_pylist())
+                f, s, of, _ = bags(t.column("text").to_pylist())
                 row, col = hits(f, s, features)
                 n = np.bincount(row, minlength=len(of))
                 cut, ends = np.searchsorted(of, np.arange(t.num_rows + 1)), np.append(0, np.cumsum(n))
                 yield pa.RecordBatch.from_arrays(
-                    [t.column("y"), pa.array(groups(w)), pa.array([col[ends[i] : ends[j]].astype("<u4").tobytes() for i, j in zip(cut, cut[1:])], pa.binary()), pa.array([n[i:j].astype("<u4").tobytes() for i, j in zip(cut, cut[1:])], pa.binary())],
-                    ["y", "g", "c", "n"],
+                    [t.column("y"), pa.array([col[ends[i] : ends[j]].astype("<u2").tobytes() for i, j in zip(cut, cut[1:])], pa.binary()), pa.array([n[i:j].astype("<u2").tobytes() for i, j in zip(cut, cut[1:])], pa.binary())],
+                    ["y", "c", "n"],
                 )
 
     return find
 
 
-def chosen(examples: list[tuple[int, str, np.ndarray, np.ndarray]], k: int, tested: int) -> np.ndarray:
-    """Columns whose share of toxic documents is above the base rate by more than the best of ``tested`` would reach by chance, the strongest at most."""
-    _, of, size = np.unique([g for _, g, _, _ in examples], return_inverse=True, return_counts=True)
-    weight, y = 1.0 / size[of], np.array([y for y, *_ in examples], float)
-    base = float((weight * y).sum() / weight.sum())
-    own = [np.unique(c) for _, _, c, _ in examples]
-    col, row = np.concatenate(own).astype(np.int64), np.repeat(np.arange(len(own)), [len(c) for c in own])
-    n1, n = np.bincount(col, (weight * y)[row], minlength=k), np.bincount(col, weight[row], minlength=k)
-    q = np.clip(n1 / np.maximum(n, 1e-12), 1e-9, 1 - 1e-9)
-    gain = np.where(q > base, n * (q * np.log(q / base) + (1 - q) * np.log((1 - q) / (1 - base))), 0.0)
-    good = np.flatnonzero(gain > np.log(max(tested, 2)) + 5.0)
-    return np.sort(good[np.argsort(-gain[good], kind="stable")[:MOST_FEATURES]])
-
-
 def fit(examples: list[tuple[int, np.ndarray, np.ndarray]], k: int, epochs: int = 40, batch: int = 512, rate: float = 0.3, decay: float = 1e-6, seed: int = 1) -> np.ndarray:
     """Weights of ``k`` features and the offset from (label, features, features per sentence) of each document, by AdaGrad on the noisy-or likelihood."""
     weight, square = np.full(k + 1, 4.0), np.full(k + 1, 1e-6)  # each was chosen because it marks toxic documents
@@ -164,26 +178,23 @@ Model = tuple[np.ndarray, np.ndarray]
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most_rows: int = MOST_ROWS) -> Model:
     """(features, weights and offset) from at most about ``most_rows`` labelled rows outside the held-out fold; no other column is read.
 
-    What comes to the driver is bounded by that sample: the features of its toxic documents, then the candidates' places in all of it.
+    What comes to the driver is bounded by that sample: the different features of its toxic documents, a count per candidate and
+    partition, then the places of at most MOST_FEATURES chosen ones.
     """
-    rows = training_rows(docs, labels, label_col, most_rows).select("y", "text")
+    rows = checkpointed(training_rows(docs, labels, label_col, most_rows).select("y", "text"))
     share = rows.agg(F.avg((F.col("y") > 0).cast("int"))).first()[0] or 0.0
     if not 0 < share < 1:
         return np.zeros(0, np.uint32), np.array([np.log((share + 1e-3) / (1 - share + 1e-3))])
+    share_of = docs.sparkSession.sparkContext.broadcast
     toxic = rows.where("y > 0").select("text").mapInArrow(_toxic_features, "f binary, g string").collect()
-    features, tested = candidates([(r.g, np.frombuffer(bytes(r.f), "<u4")) for r in toxic], share)
-    spark = docs.sparkSession
-    found = rows.mapInArrow(_hit(spark.sparkContext.broadcast(features)), "y int, g string, c binary, n binary").collect()
-    found = sorted((int(r.y > 0), r.g, bytes(r.c), bytes(r.n)) for r in found)  # the same order for every partitioning
-    examples = [(y, g, np.frombuffer(c, "<u4"), np.frombuffer(n, "<u4")) for y, g, c, n in found]
-    kept = chosen(examples, len(features), tested)
-    return features[kept], fit([_narrowed(y, c, n, kept) for y, _, c, n in examples], len(kept))
-
-
-def _narrowed(y: int, c: np.ndarray, n: np.ndarray, kept: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    s, c = np.repeat(np.arange(len(n)), n), columns(c, kept)
-    ok = c < len(kept)
-    return y, c[ok], np.bincount(s[ok], minlength=len(n))
+    features, n1, documents, tested = candidates([(r.g, np.frombuffer(bytes(r.f), "<u4")) for r in toxic], share)
+    del toxic
+    counts = rows.where("y <= 0").select("text").mapInArrow(_clean_counts(share_of(features)), "n0 binary, n long").collect()
+    n0 = sum((np.frombuffer(bytes(r.n0), "<i8") for r in counts), np.zeros(len(features), np.int64))
+    features = features[chosen(n1, documents, n0, sum(r.n for r in counts), tested)]
+    found = rows.mapInArrow(_hit(share_of(features)), "y int, c binary, n binary").collect()
+    found = sorted((int(r.y > 0), bytes(r.c), bytes(r.n)) for r in found)  # the same order for every partitioning
+    return features, fit([(y, np.frombuffer(c, "<u2"), np.frombuffer(n, "<u2").astype(np.int64)) for y, c, n in found], len(features))
 
 
 def sentence_scores(texts: list[str | None], model: Model):
