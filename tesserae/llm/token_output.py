@@ -24,17 +24,18 @@ from pyspark.sql import functions as F
 from tesserae.llm.shared import Replacing, filesystem, new_folder
 
 _CUT = re.compile(r" (?=\S)")
-_LOOSE = re.compile(r" \s| $")
-_CACHED = 300_000  # pieces; a worker starts anew beyond it
+_LOOSE = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]")
+_CACHED = 600_000  # words; a worker starts anew beyond it
 
 _loaded: dict[str, tuple] = {}
 
 
 class Encoder:
-    """``tokenizers`` ids of whole texts, through pieces that start at a space before a visible character.
+    """``tokenizers`` ids of whole texts, each different word encoded once while it stays in the cache.
 
-    Byte-level BPE never merges across such a place, so the ids of a text are those of its pieces, and a piece is encoded once
-    while it stays in the cache.
+    Byte-level BPE never merges across a space before a visible character, nor across a single line end between two. So where a
+    text has no other white space, its ids are those of its words, each with the space before it, and of the line ends. Other
+    texts are cut at such spaces alone.
     """
 
     def __init__(self, path: str):
@@ -43,27 +44,59 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.first: dict[str, bytes] = {}
-        self.next: dict[str, bytes] = {}
-
-    def _add(self, cache: dict[str, bytes], pieces: set[str], before: str) -> None:
-        new = [p for p in pieces if p not in cache]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast([before + p for p in some], add_special_tokens=False)):
-                cache[p] = np.array(e.ids, self.dtype).tobytes()
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.line = self._ids("\n")
+        self.spaced = np.array([(self.tokenizer.id_to_token(k) or "").startswith("Ġ") for k in range(size)])
+        self.first: dict[str, bytes] = {}  # words at the start of a line
+        self.next: dict[str, bytes] = {}  # words after a space
+        self.loose: dict[str, bytes] = {}  # pieces as they are
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _add(self, cache: dict[str, bytes], words: set[str], between: str) -> None:
+        """Encode new words in one go, ``between`` before each, and cut the ids where it begins; one by one if the cuts aren't as many."""
+        new = list(words.difference(cache))
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([between + between.join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            starts = np.flatnonzero(self.spaced[ids] if between == " " else ids == np.frombuffer(self.line, self.dtype)[0])
+            if len(starts) != len(some):
+                cache.update((p, self._ids(between + p) if between == " " else self._ids(p)) for p in some)
+                continue
+            data, k = ids.tobytes(), self.dtype.itemsize
+            skip = 0 if between == " " else k
+            edges = [*(starts * k).tolist(), len(data)]
+            cache.update((p, data[i + skip : j]) for p, i, j in zip(some, edges, edges[1:]))
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """Ids of each text as bytes of ``dtype``, and the id ``end`` after them."""
-        if len(self.first) + len(self.next) > _CACHED:
-            self.first.clear()
-            self.next.clear()
-        cut = [_CUT.split(t) if _LOOSE.search(t) else t.split(" ") for t in (t or "" for t in texts)]
-        self._add(self.first, {c[0] for c in cut}, "")
-        self._add(self.next, {p for c in cut for p in c[1:]}, " ")
-        last, first, rest = np.array([end], self.dtype).tobytes(), self.first, self.next.__getitem__
-        return [first[c[0]] + b"".join(map(rest, c[1:])) + last for c in cut]
+        if len(self.first) + len(self.next) + len(self.loose) > _CACHED:
+            for cache in (self.first, self.next, self.loose):
+                cache.clear()
+        plans, first, after, loose = [], set(), set(), set()
+        for t in texts:
+            if not t:
+                plans.append(None)
+            elif _LOOSE.search(t):
+                head, *rest = _CUT.split(t)
+                plans.append([head, *(" " + x for x in rest)])
+                loose.update(plans[-1])
+            else:
+                plans.append([x.split(" ") for x in t.split("\n")])
+                for x in plans[-1]:
+                    first.add(x[0])
+                    after.update(x[1:])
+        self._add(self.first, first, "\n")
+        self._add(self.next, after, " ")
+        for p in loose.difference(self.loose):
+            self.loose[p] = self._ids(p)
+        last, start, rest, whole = np.array([end], self.dtype).tobytes(), self.first, self.next.__getitem__, self.loose.__getitem__
+        return [
+            last if plan is None else b"".join(map(whole, plan)) + last if isinstance(plan[0], str) else self.line.join([start[x[0]] + b"".join(map(rest, x[1:])) for x in plan]) + last
+            for plan in plans
+        ]
 
 
 def encoder(path: str) -> Encoder:
