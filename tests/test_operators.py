@@ -91,3 +91,15 @@ def test_assignment_is_optimal():
 def test_matching_per_group(spark):
     df = spark.createDataFrame([(1, 1, 1, 0.5), (1, 1, 2, 0.6), (1, 2, 2, 0.9), (2, 5, 5, 0.1)], "g long, l long, r long, w double")
     assert sorted((x.g, x.l, x.r) for x in matched(df, "g", "l", "r", "w").collect()) == [(1, 1, 1), (1, 2, 2), (2, 5, 5)]
+
+
+def test_a_perfect_track_has_full_hota(spark):
+    from tesserae.operators.tracking import ALPHAS, hota
+
+    gt = spark.createDataFrame([("s", f, 1) for f in range(5)], "seq string, frame long, g long")
+    dt = gt.withColumnRenamed("g", "d")
+    pairs = gt.join(dt, ["seq", "frame"]).withColumn("sim", F.lit(1.0))
+    rows = hota(pairs, gt, dt).collect()
+    assert len(rows) == len(ALPHAS) and all(r.DetA == r.AssA == r.HOTA == r.LocA == 1.0 for r in rows)
+    half = hota(pairs.where("frame < 2"), gt, dt).first()
+    assert half.tp == 2 and half.DetA == pytest.approx(2 / 8) and half.AssA == pytest.approx(2 / 8)
