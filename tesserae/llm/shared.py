@@ -10,10 +10,11 @@ from pyspark.sql import SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session. Where it is unset (tests), a temporary folder becomes it."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if found:
+        if context.getCheckpointDir() is None:  # set after the context was made
+            context.setCheckpointDir(found)
         return found.rstrip("/")
-    context = spark.sparkContext
     if (own := context.getCheckpointDir()) is not None:
         return own.rstrip("/")
     own = f"file://{tempfile.mkdtemp(prefix='tesserae-')}"

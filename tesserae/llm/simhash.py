@@ -27,6 +27,7 @@ _CUTS = ((0, 22), (22, 21), (43, 21))  # lowest bit and width of each segment
 _ORDERED = [(a, b) for a in range(3) for b in range(3) if a != b]
 _PAIRS = [(0, 1), (0, 2), (1, 2)]
 _KEYS_PER_TASK = 2_000_000
+_MANY = 1 << 25  # fingerprints from which chance meetings cost more than longer keys
 _STEP = 8192
 
 
@@ -58,8 +59,12 @@ def _fingerprints(shingle: int):
     return make
 
 
-def _keys(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All keys of the fingerprints, and the row of each. Bits 0-1: the role; 0 meets 0, and 1 meets 2."""
+def _keys(f: np.ndarray, third: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of the fingerprints, and the row of each. Bits 0-1: the role; 0 meets 0, and 1 meets 2.
+
+    With ``third``, keys of two segments that differ in a bit each also have an index of the third one, which differs in two
+    bits at most: five times the keys, and a hundredth of the chance meetings. No link is lost either way.
+    """
     u = f.view(np.uint64)
     segment = [((u >> np.uint64(s)) & np.uint64((1 << n) - 1)).astype(np.int64) for s, n in _CUTS]
     near = [codewords(x) for x in segment]
@@ -76,19 +81,26 @@ def _keys(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         index, valid = near[b]
         add((kind << 36) | (segment[a][:, None] << 14) | (index << 2), valid)
     for kind, (a, b) in enumerate(_PAIRS, len(_ORDERED)):
-        (ia, va), (ib, vb) = near[a], near[b]
-        add((kind << 36) | (odd[a] << 27) | (odd[b] << 26) | (ia[:, 0] << 14) | (ib[:, 0] << 2) | 1, va[:, 0])
-        parity = (((1 - odd[a]) << 27) | ((1 - odd[b]) << 26))[:, None, None]
-        add((kind << 36) | parity | (ia[:, :, None] << 14) | (ib[:, None, :] << 2) | 2, va[:, :, None] & vb[:, None, :])
+        (ia, va), (ib, vb), (ic, vc) = near[a], near[b], near[3 - a - b]
+        if not third:
+            ic, vc = np.zeros((len(f), 1), np.int64), np.ones((len(f), 1), bool)
+        own = (kind << 36) | (odd[a] << 27) | (odd[b] << 26) | (ia[:, 0] << 14) | (ib[:, 0] << 2) | 1
+        add(own[:, None] | (ic << 42), vc)
+        other = (kind << 36) | ((1 - odd[a]) << 27) | ((1 - odd[b]) << 26)
+        near_two = other[:, None, None] | (ia[:, :, None] << 14) | (ib[:, None, :] << 2) | 2
+        add(near_two[..., None] | (ic[:, None, None, :] << 42), (va[:, :, None] & vb[:, None, :])[..., None] & vc[:, None, None, :])
     return np.concatenate(keys), np.concatenate(rows)
 
 
-def _keyed(batches):
-    for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            f = batch.slice(at, 4096).column("fp").to_numpy()
-            key, row = _keys(f)
-            yield pa.RecordBatch.from_arrays([pa.array(key >> 2), pa.array((key & 3).astype(np.int8)), pa.array(f[row])], ["key", "role", "fp"])
+def _keyed(third: bool):
+    def make(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                f = batch.slice(at, 1024).column("fp").to_numpy()
+                key, row = _keys(f, third)
+                yield pa.RecordBatch.from_arrays([pa.array(key >> 2), pa.array((key & 3).astype(np.int8)), pa.array(f[row])], ["key", "role", "fp"])
+
+    return make
 
 
 def _united(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -151,8 +163,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = checkpointed(rows.mapInArrow(_fingerprints(shingle), "id long, fp long"))
     unique = checkpointed(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")))
     n = unique.count()
-    tasks = max(1, n * 119 // _KEYS_PER_TASK, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    links = unique.select("fp").mapInArrow(_keyed, "key long, role byte, fp long").repartition(tasks, "key").mapInArrow(_links(bits), "a long, b long")
+    third = n > _MANY
+    tasks = max(1, n * (493 if third else 119) // _KEYS_PER_TASK, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    links = unique.select("fp").mapInArrow(_keyed(third), "key long, role byte, fp long").repartition(tasks, "key").mapInArrow(_links(bits), "a long, b long")
     roots = connected_components(links)
     member = unique.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     first = member.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("prints"), F.sum("n").alias("copies"))

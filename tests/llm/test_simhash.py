@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from tests.llm import cases
@@ -54,15 +55,16 @@ def test_near_copies(spark):
     assert any(c != k for k, (_, c) in got.items())
 
 
-def test_keys_find_every_pair_within_four_bits():
+@pytest.mark.parametrize("third", [False, True])
+def test_keys_find_every_pair_within_four_bits(third):
     r = np.random.default_rng(3)
-    a = r.integers(0, 2**64, 4000, dtype=np.uint64)
+    a = r.integers(0, 2**64, 1000, dtype=np.uint64)
     b = a.copy()
     for k in range(4):
         flip = (np.arange(len(a)) % 5) > k
         b[flip] ^= np.uint64(1) << r.integers(0, 64, flip.sum(), dtype=np.uint64)
-    ka, ra = _keys(a.view(np.int64))
-    kb, rb = _keys(b.view(np.int64))
+    ka, ra = _keys(a.view(np.int64), third)
+    kb, rb = _keys(b.view(np.int64), third)
     partner = np.array([0, 2, 1])
     mine = set(zip(ka.tolist(), ra.tolist()))
     met = {int(row) for key, row in zip(kb.tolist(), rb.tolist()) if ((key >> 2 << 2) | int(partner[key & 3]), row) in mine}
