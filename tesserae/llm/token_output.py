@@ -24,9 +24,16 @@ from pyspark.sql import functions as F
 from tesserae.llm.shared import Replacing, filesystem, new_folder
 
 _CUT = re.compile(r" (?=\S)")
-_LOOSE = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]")
+_ODD = re.compile(r"[^\S \n]")
 _CACHED = 600_000  # words; a worker starts anew beyond it
 
+
+
+def _loose(t: str) -> bool:
+    """White space other than single spaces and line ends between visible characters."""
+    return "  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[0] in " \n" or t[-1] in " \n" or _ODD.search(t) is not None
+
+
 _loaded: dict[str, tuple] = {}
 
 
@@ -79,7 +86,7 @@ class Encoder:
         for t in texts:
             if not t:
                 plans.append(None)
-            elif _LOOSE.search(t):
+            elif _loose(t):
                 head, *rest = _CUT.split(t)
                 plans.append([head, *(" " + x for x in rest)])
                 loose.update(plans[-1])
