@@ -48,6 +48,11 @@ def giou(p: str, q: str) -> Column:
     return iou(p, q) - ratio(hull - union(p, q), hull)
 
 
+def strictly_inside(centre: Column, margin: float) -> Column:
+    """A centre, as a share of the image, that is off the border by more than the margin."""
+    return (centre > margin) & (centre < 1 - margin)
+
+
 def enlarged(x: Column, y: Column, w: Column, h: Column, padding: float, width: int, height: int) -> list[Column]:
     """A box grown by 1 / (1 - padding), centred on itself and shifted into the image: (x, y, w, h). Its size is truncated, not clamped."""
     nw, nh = (w / (1 - padding)).cast("long"), (h / (1 - padding)).cast("long")

@@ -125,16 +125,20 @@ def nms_iom(spark, sf):
 
 
 # Filters and scalar geometry.
-def _simple(name, where, spark_where):
+def _simple(name, where, condition):
     @query(name, f"WITH {DET} SELECT image_id, n, score FROM det WHERE {where}")
     def run(spark, sf):
-        return det(spark, sf).where(spark_where).select("image_id", "n", "score")
+        return det(spark, sf).where(condition()).select("image_id", "n", "score")
 
 
-_simple("filter_confidence", "score >= 0.95", F.col("score") >= 0.95)
-_simple("filter_detection_strict", "score > 0.95", F.col("score") > 0.95)
-_simple("filter_not_at_border", "(x + w / 2.0) / 120 > 0.025 AND (x + w / 2.0) / 120 < 0.975 AND (y + h / 2.0) / 100 > 0.025 AND (y + h / 2.0) / 100 < 0.975", ((F.col("x") + F.col("w") / 2) / 120).between(0.0250000001, 0.9749999999) & ((F.col("y") + F.col("h") / 2) / 100).between(0.0250000001, 0.9749999999))
-_simple("filter_small_area", "w * h >= 100", F.col("w") * F.col("h") >= 100)
+_simple("filter_confidence", "score >= 0.95", lambda: F.col("score") >= 0.95)
+_simple("filter_detection_strict", "score > 0.95", lambda: F.col("score") > 0.95)
+_simple(
+    "filter_not_at_border",
+    "(x + w / 2.0) / 120 > 0.025 AND (x + w / 2.0) / 120 < 0.975 AND (y + h / 2.0) / 100 > 0.025 AND (y + h / 2.0) / 100 < 0.975",
+    lambda: B.strictly_inside((F.col("x") + F.col("w") / 2) / 120, 0.025) & B.strictly_inside((F.col("y") + F.col("h") / 2) / 100, 0.025),
+)
+_simple("filter_small_area", "w * h >= 100", lambda: F.col("w") * F.col("h") >= 100)
 
 
 @query("images_without_tiny_boxes", f"WITH {DET} SELECT DISTINCT image_id FROM det WHERE image_id NOT IN (SELECT image_id FROM det WHERE w < 7 OR h < 7)")
