@@ -136,7 +136,16 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive_pages(_table(spark, sf_dir, "pages"))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "archive", "offset", "length")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_OP8 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+m AS (SELECT h, max(page_id) AS best FROM p WHERE n >= 1000 GROUP BY 1)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN best <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN best <> page_id THEN best END AS refers_to
+FROM p LEFT JOIN m USING (h)
+"""
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +168,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
 }
-_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op2_decontaminate": _OP2, "op4_quality_rules": _OP4, "op7_chat": _OP7}
+_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op2_decontaminate": _OP2, "op4_quality_rules": _OP4, "op7_chat": _OP7, "op8_warc": _OP8}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
