@@ -163,18 +163,19 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = 8) -> DataFrame:
 
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[object, str | None]], width: int = 8):
     """The plain definition, for tests: {doc: (n_words, n_hit, sorted items, sha256)}."""
+    of: dict[tuple, set[str]] = {}
+    for item, t in items:
+        for p in windows(t, width) if item is not None else []:
+            of.setdefault(tuple(p.split(b" ")), set()).add(str(item))
     out = {}
     for doc, text in docs:
         w = normalised(text).split()
         hit, found = set(), set()
-        for item, t in items:
-            if item is None:
-                continue
-            for p in {tuple(p.split(b" ")) for p in windows(t, width)}:
-                for i in range(len(w) - len(p) + 1):
-                    if tuple(w[i : i + len(p)]) == p:
-                        hit.update(range(i, i + len(p)))
-                        found.add(str(item))
+        for n in {len(p) for p in of}:
+            for i in range(len(w) - n + 1):
+                if (p := tuple(w[i : i + n])) in of:
+                    hit.update(range(i, i + n))
+                    found |= of[p]
         names = sorted(found)
         out[doc] = len(w), len(hit), names, hashlib.sha256(",".join(names).encode()).hexdigest()
     return out
