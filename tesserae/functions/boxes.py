@@ -14,6 +14,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a.cast("double") / b).otherwise(F.lit(0.0))
 
 
+def once(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def overlap(p: str, q: str) -> Column:
     """Area that boxes of column prefixes p and q share."""
     w = F.least(_c(p, "x") + _c(p, "w"), _c(q, "x") + _c(q, "w")) - F.greatest(_c(p, "x"), _c(q, "x"))
@@ -92,3 +97,61 @@ def suppressed(items: Column, threshold: float, inclusive: bool, by: str = "iou"
         return m >= threshold if inclusive else m > threshold
 
     return F.aggregate(F.slice(items, 2, 1 << 30), F.slice(items, 1, 1), lambda kept, e: F.when(F.exists(kept, lambda k: hit(k, e)), kept).otherwise(F.concat(kept, F.array(e))))
+
+
+# Rotated boxes: centre, size, angle in degrees.
+def wrapped_angle(a: Column) -> Column:
+    """Into [-180, 180)."""
+    return F.pmod(a + 180.0, F.lit(360.0)) - 180.0
+
+
+def upright_bounds(cx: Column, cy: Column, w: Column, h: Column, a: Column) -> list[Column]:
+    """The smallest upright box around a rotated one: (x1, y1, x2, y2)."""
+    c, s = F.abs(F.cos(F.radians(a))), F.abs(F.sin(F.radians(a)))
+    nw, nh = c * w + s * h, c * h + s * w
+    return [cx - nw / 2, cy - nh / 2, cx + nw / 2, cy + nh / 2]
+
+
+def clipped_if_level(cx: Column, cy: Column, w: Column, h: Column, a: Column, width: int, height: int, tolerance: float = 1.0) -> list[Column]:
+    """(cx, cy, w, h) cut to the image if the box is level within the tolerance, else as it was; sizes never grow."""
+    level = F.abs(wrapped_angle(a)) <= tolerance
+    cut = lambda v, most: F.least(F.greatest(v, F.lit(0.0)), F.lit(float(most)))
+    out = []
+    for c, n, most in ((cx, w, width), (cy, h, height)):
+        lo, hi = cut(c - n / 2, most), cut(c + n / 2, most)
+        out.append((F.when(level, (lo + hi) / 2).otherwise(c), F.when(level, F.least(n, hi - lo)).otherwise(n)))
+    return [out[0][0], out[1][0], out[0][1], out[1][1]]
+
+
+def corners(cx: Column, cy: Column, w: Column, h: Column, a: Column) -> Column:
+    """Of a rotated box, as an array of (x, y) in one sense of rotation."""
+    c, s = F.cos(F.radians(a)), F.sin(F.radians(a))
+    at = lambda i, j: F.struct((cx + i * w / 2 * c + j * h / 2 * s).alias("x"), (cy - i * w / 2 * s + j * h / 2 * c).alias("y"))
+    return F.array(at(-1, -1), at(1, -1), at(1, 1), at(-1, 1))
+
+
+def convex_overlap(p: Column, q: Column) -> Column:
+    """Area that two convex polygons of (x, y) in the same sense share: p cut by each side of q in turn, as a fold."""
+    none = F.array().cast("array<struct<x:double,y:double>>")
+    sides = F.transform(q, lambda b, i: F.struct(F.element_at(q, F.when(i == 0, F.size(q)).otherwise(i).cast("int")).alias("a"), b.alias("b")))
+
+    def cut(poly, e):
+        a, b = e["a"], e["b"]
+        side = lambda v: (b["x"] - a["x"]) * (v["y"] - a["y"]) - (b["y"] - a["y"]) * (v["x"] - a["x"])
+
+        def kept(v, i):
+            u = F.element_at(poly, F.when(i == 0, F.size(poly)).otherwise(i).cast("int"))
+
+            def corner(e):
+                u, sv, su = e["u"], e["sv"], e["su"]
+                t = su / (su - sv)
+                cross = F.struct((u["x"] + (v["x"] - u["x"]) * t).alias("x"), (u["y"] + (v["y"] - u["y"]) * t).alias("y"))
+                return F.when((sv >= 0) & (su >= 0), F.array(v)).when(sv >= 0, F.array(cross, v)).when(su >= 0, F.array(cross)).otherwise(none)
+
+            return once(F.struct(u.alias("u"), side(v).alias("sv"), side(u).alias("su")), corner)
+
+        return F.flatten(F.transform(poly, kept))
+
+    left = F.aggregate(sides, p, cut)
+    flat = F.flatten(F.transform(left, lambda v: F.array(v["x"], v["y"])))
+    return once(flat, lambda f: F.when(F.size(f) >= 6, shoelace(f)).otherwise(0.0))

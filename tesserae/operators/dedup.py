@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.operators.lineage import settled
+
 
 def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row in order of each key: a ranked filter, which Spark limits per group before the shuffle."""
@@ -32,15 +34,30 @@ def hamming_pairs(df: DataFrame, id_col: str, hash_col: str, most: int) -> DataF
     return pairs.where(~earlier).select("a", "b", F.bit_count(apart).cast("long").alias("distance")).where(F.col("distance") <= most)
 
 
-def greedy_kept(pairs: DataFrame, ids: DataFrame, component: DataFrame) -> DataFrame:
-    """Near duplicates dropped greedily in id order: an id goes only if one that was kept before it is near.
+def greedy_kept(pairs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Near duplicates dropped greedily in id order: an id goes only if one that was kept before it is near. Returns the rows of ``ids`` (id) that stay.
+
+    ``pairs`` (a, b), a < b. In each round the ids that no other may drop are kept, and what they are near goes, with all its pairs; rounds are as many as
+    the longest chain of decisions. No group is gathered: a group of any size is rows of joins. Each round's pairs are checkpointed.
+    """
+    edges, gone = settled(pairs.select("a", "b")), []
+    while not edges.isEmpty():
+        free = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        out = settled(edges.join(free, "a").select("b").distinct())
+        gone.append(out)
+        edges = settled(edges.join(out, "b", "left_anti").join(out.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b"))
+    for out in gone:
+        ids = ids.join(out.select(F.col("b").alias("id")), "id", "left_anti")
+    return ids
+
+
+def near_kept(df: DataFrame, id_col: str, hash_col: str, most: int) -> DataFrame:
+    """Of rows (id, hash) those that stay when each that differs in ``most`` bits at most from an earlier one that stays is dropped: (id).
 
-    ``pairs`` (a, b), a < b; ``component`` (id, root) tells apart what can be folded on its own. Ids in no pair are kept.
+    Of equal hashes only the first id can stay, so copies never form pairs.
     """
-    near = pairs.groupBy("b").agg(F.collect_list("a").alias("before"))
-    grouped = component.join(near, component.id == near.b, "left").groupBy("root").agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("before", F.array().cast("array<bigint>")).alias("before")))).alias("x"))
-    kept = F.aggregate("x", F.array().cast("array<bigint>"), lambda k, e: F.when(F.arrays_overlap(k, e["before"]), k).otherwise(F.concat(k, F.array(e["id"]))))
-    return ids.join(component, "id", "left_anti").unionByName(grouped.select(F.explode(kept).alias("id")))
+    first = df.groupBy(F.col(hash_col).alias("h")).agg(F.min(id_col).alias("id"))
+    return greedy_kept(hamming_pairs(first, "id", "h", most), first.select("id"))
 
 
 def bit_votes(text_words: DataFrame, id_col: str, word_col: str, bits: int = 60) -> DataFrame:

@@ -48,6 +48,27 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     return t.agg((F.sum("u") / F.nullif(F.sum("p") * F.sum("n"), F.lit(0.0))).alias("auc"))
 
 
+def roc_auc_classes(df: DataFrame, label: str, cls: str, score: str) -> DataFrame:
+    """One row: area under the ROC curve over several classes, one against one and one against the rest, both macro means; null with fewer than two classes.
+
+    df has a row per item and class: the item's label, the class, the score of the item for it. Rows are first summed by class, label and score; an ordering then
+    goes over the distinct scores of one pair of classes.
+    """
+    n = df.groupBy(F.col(cls).alias("k"), F.col(label).alias("y"), F.col(score).alias("s")).agg(F.count("*").cast("double").alias("n"))
+    classes = n.select("y").distinct()
+    own = n.where("y = k").join(classes.withColumnRenamed("y", "j")).where("j <> k").select("k", "j", "s", F.col("n").alias("p"), F.lit(0.0).alias("q"))
+    other = n.where("y <> k").join(classes.withColumnRenamed("y", "k"), "k", "left_semi").select("k", F.col("y").alias("j"), "s", F.lit(0.0).alias("p"), F.col("n").alias("q"))
+    t = own.unionByName(other)
+
+    def area(t: DataFrame, by: list[str]) -> DataFrame:
+        t = t.groupBy(*by, "s").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+        below = F.sum("q").over(Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, 0)) - F.col("q")
+        return t.withColumn("u", F.col("p") * (below + F.col("q") / 2)).groupBy(*by).agg((F.sum("u") / F.nullif(F.sum("p") * F.sum("q"), F.lit(0.0))).alias("auc"))
+
+    rest = n.join(classes.withColumnRenamed("y", "k"), "k", "left_semi").select("k", "s", F.when(F.col("y") == F.col("k"), F.col("n")).otherwise(0.0).alias("p"), F.when(F.col("y") != F.col("k"), F.col("n")).otherwise(0.0).alias("q"))
+    return area(t, ["k", "j"]).agg(F.avg("auc").alias("ovo")).crossJoin(area(rest, ["k"]).agg(F.avg("auc").alias("ovr")))
+
+
 def cluster_agreement(df: DataFrame, label: str, cluster: str) -> DataFrame:
     """Normalised mutual information, adjusted Rand index and purity from the contingency table."""
     t = df.groupBy(F.col(label).alias("y"), F.col(cluster).alias("c")).agg(F.count("*").cast("double").alias("n"))

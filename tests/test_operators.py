@@ -48,7 +48,7 @@ def test_near_duplicates_kept_greedily(spark):
     ids = spark.createDataFrame([(1, 0), (2, 3), (3, 15)], "id long, h long")
     pairs = dedup.hamming_pairs(ids, "id", "h", 2)
     assert sorted((r.a, r.b, r.distance) for r in pairs.collect()) == [(1, 2, 2), (2, 3, 2)]
-    kept = dedup.greedy_kept(pairs, ids.select("id"), ids.select("id", F.lit(1).alias("root")))
+    kept = dedup.greedy_kept(pairs, ids.select("id"))
     assert sorted(r.id for r in kept.collect()) == [1, 3]
 
 
