@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _row(n, one, two):
+    return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([one.tobytes()], pa.binary()), pa.array([two.tobytes()], pa.binary())], ["n", "one", "two"])
+
+
 def _sums(batches):
     """Of a partition's vectors: how many, their sum and the sum of their outer products, in one row."""
     n, one, two = 0, 0.0, 0.0
@@ -16,12 +20,23 @@ def _sums(batches):
             v = np.stack(b.column("v").to_numpy(zero_copy_only=False))
             n, one, two = n + len(v), one + v.sum(axis=0), two + v.T @ v
     if n:
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([one.tobytes()], pa.binary()), pa.array([two.tobytes()], pa.binary())], ["n", "one", "two"])
+        yield _row(n, one, two)
+
+
+def _totals(batches):
+    """Such rows added up, in one row."""
+    n, one, two = 0, 0.0, 0.0
+    for b in batches:
+        for k in range(b.num_rows):
+            n, one, two = n + b["n"][k].as_py(), one + np.frombuffer(b["one"][k].as_py()), two + np.frombuffer(b["two"][k].as_py())
+    if n:
+        yield _row(n, one, two)
 
 
-def moments(df: DataFrame, vec: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, mean and covariance. What comes to the driver is a matrix of the dimensions per partition."""
-    parts = df.select(F.col(vec).cast("array<double>").alias("v")).where("v IS NOT NULL").mapInArrow(_sums, "n long, one binary, two binary").collect()
+def moments(df: DataFrame, vec: str, merges: int = 8) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, mean and covariance. What comes to the driver is ``merges`` matrices of the dimensions, however many partitions there are."""
+    kind = "n long, one binary, two binary"
+    parts = df.select(F.col(vec).cast("array<double>").alias("v")).where("v IS NOT NULL").mapInArrow(_sums, kind).repartition(merges).mapInArrow(_totals, kind).collect()
     n = sum(p.n for p in parts)
     if n < 2:
         return n, np.zeros(0), np.zeros((0, 0))

@@ -103,3 +103,24 @@ def test_a_perfect_track_has_full_hota(spark):
     assert len(rows) == len(ALPHAS) and all(r.DetA == r.AssA == r.HOTA == r.LocA == 1.0 for r in rows)
     half = hota(pairs.where("frame < 2"), gt, dt).first()
     assert half.tp == 2 and half.DetA == pytest.approx(2 / 8) and half.AssA == pytest.approx(2 / 8)
+
+
+def test_frechet_distance_equals_its_formula(spark):
+    from tesserae.operators.fid import frechet
+
+    r = np.random.default_rng(5)
+    a, b = r.normal(size=(40, 4)), r.normal(1, 2, size=(30, 4))
+    ma, mb, ca, cb = a.mean(axis=0), b.mean(axis=0), np.cov(a.T), np.cov(b.T)
+    expected = ((ma - mb) ** 2).sum() + np.trace(ca) + np.trace(cb) - 2 * np.sqrt(np.linalg.eigvals(ca @ cb).real).sum()
+    x, y = (spark.createDataFrame([(v.tolist(),) for v in m], "v array<double>") for m in (a, b))
+    for parts in (1, 23):
+        assert frechet(x.repartition(parts), y.repartition(parts), "v").first().distance == pytest.approx(expected, abs=1e-5)
+    assert frechet(x.limit(1), y, "v").first().distance is None
+
+
+def test_best_matches_reach_the_best_total(spark):
+    r = np.random.default_rng(7)
+    w = r.random((4, 3, 4))
+    df = spark.createDataFrame([(g, i, j, float(w[g, i, j])) for g in range(4) for i in range(3) for j in range(4)], "g long, l long, r long, w double")
+    got = {x.g: x.total for x in matched(df, "g", "l", "r", "w").groupBy("g").agg(F.sum("w").alias("total")).collect()}
+    assert got == {g: pytest.approx(max(sum(w[g, i, p[i]] for i in range(3)) for p in itertools.permutations(range(4), 3))) for g in range(4)}
