@@ -7,24 +7,31 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import boxes as B
 from tesserae.functions.keys import order_key
+from tesserae.operators.tracking import track_annotations
 from tesserae.plans.boxes import _INTER, _IOU, DET, _side, det, pairs
 from tesserae.plans.registry import query, table
 
 _TRACKS = f"{DET}, tk AS (SELECT category AS video, n AS track, list(CASE WHEN image_id % 4 = 0 THEN NULL ELSE [x, y, w, h] END ORDER BY image_id) AS boxes FROM det WHERE image_id < 200 GROUP BY 1, 2)"
 
 
-def _tracklets(spark, sf):
-    """Per video and track an array of boxes by frame, null where the object is absent."""
-    box = F.when(F.col("image_id") % 4 != 0, F.array("x", "y", "w", "h"))
-    d = det(spark, sf).where("image_id < 200").groupBy(F.col("category").alias("video"), F.col("n").alias("track"))
-    return d.agg(F.transform(F.sort_array(F.collect_list(F.struct("image_id", box.alias("b")))), lambda e: e["b"]).alias("boxes"))
+def _annotations(boxes):
+    """Per video and track the boxes by frame, numbered; an object is absent in every fourth image."""
+    d = boxes.select(F.col("category").alias("video"), F.col("n").alias("track"), F.col("image_id").alias("image"), (F.col("image_id") % 4 != 0).alias("present"), "x", (F.col("w") * F.col("h")).alias("area"))
+    return track_annotations(d).select(F.col("id").cast("long").alias("id"), "video", "track", F.col("frame").cast("long").alias("frame"), "x", "area")
 
 
 @query("tracklets_to_annotations", f"WITH {_TRACKS}, l AS (SELECT video, track, CAST(i AS BIGINT) AS frame, boxes[i] AS b FROM tk, unnest(generate_series(1, len(boxes))) AS t(i)) SELECT row_number() OVER (ORDER BY video, track, frame) AS id, video, track, frame, b[1] AS x, b[3] * b[4] AS area FROM l WHERE b IS NOT NULL")
 def tracklets_to_annotations(spark, sf):
-    l = _tracklets(spark, sf).select("video", "track", F.posexplode("boxes").alias("p", "b")).where("b IS NOT NULL")  # noqa: E741
-    rn = F.row_number().over(Window.orderBy("video", "track", "p"))
-    return l.select(rn.cast("long").alias("id"), "video", "track", (F.col("p") + 1).cast("long").alias("frame"), F.get("b", F.lit(0)).alias("x"), (F.get("b", F.lit(2)) * F.get("b", F.lit(3))).alias("area"))
+    """Over the images that its SQL names, below 200; ``tracklets_to_annotations_whole`` has all."""
+    return _annotations(det(spark, sf).where("image_id < 200"))
+
+
+@query(
+    "tracklets_to_annotations_whole",
+    f"WITH {DET}, f AS (SELECT category AS video, n AS track, image_id, row_number() OVER (PARTITION BY category, n ORDER BY image_id) AS frame, x, w * h AS area FROM det) SELECT row_number() OVER (ORDER BY video, track, frame) AS id, video, track, frame, x, area FROM f WHERE image_id % 4 <> 0",
+)
+def tracklets_to_annotations_whole(spark, sf):
+    return _annotations(det(spark, sf))
 
 
 @query("area_fallback", f"WITH {DET} SELECT image_id, n, CASE WHEN coalesce(a, 0) <= 0 THEN w * h ELSE a END AS area FROM (SELECT *, CASE WHEN n % 3 = 0 THEN NULL WHEN n % 3 = 1 THEN 0 ELSE w * h - 1 END AS a FROM det) t WHERE NOT (x = 0 AND y = 0)")
