@@ -41,7 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of all that is left; a row per document, read back from them."""
-    return token_output.read_documents(spark, *token_output.write_tokens(docs, TOKENIZER))
+    return token_output.read_documents(spark, *token_output.write_tokens(docs, TOKENIZER, added=True))
 
 
 STAGES = [

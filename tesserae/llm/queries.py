@@ -59,7 +59,7 @@ FROM w LEFT JOIN words ON words.doc_id = w.doc_id LEFT JOIN items ON items.doc_i
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    written = token_output.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    written = token_output.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), added=True)
     return token_output.read_documents(spark, *written)
 
 

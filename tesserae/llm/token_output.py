@@ -34,7 +34,7 @@ def _loose(t: str) -> bool:
     return "  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[0] in " \n" or t[-1] in " \n" or _ODD.search(t) is not None
 
 
-_loaded: dict[str, tuple] = {}
+_loaded: dict[tuple[str, bool], Encoder] = {}
 
 
 class Encoder:
@@ -43,16 +43,24 @@ class Encoder:
     Byte-level BPE never merges across a space before a visible character, nor across a single line end between two. So where a
     text has no other white space, its ids are those of its words, each with the space before it, and of the line ends. Other
     texts are cut at such spaces alone.
+
+    With ``added``, as the plain call does, the string of an added token in a text is that token's one id, and the text is cut there
+    before its words are; without it, the string of a special token is ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # with ``added``, no piece holds their strings
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        found = self.tokenizer.get_added_tokens_decoder() if added else {}
+        if any(x.lstrip or x.rstrip or x.single_word or x.normalized or re.search(r"\s", x.content) for x in found.values()):
+            raise ValueError("added tokens that strip, are normalized, are single words or hold white space")
+        self.added = {x.content: np.array([k], self.dtype).tobytes() for k, x in found.items()}
+        self.at_added = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})")
         self.line = self._ids("\n")
         self.spaced = np.array([(self.tokenizer.id_to_token(k) or "").startswith("Ġ") for k in range(size)])
         self.first: dict[str, bytes] = {}  # words at the start of a line
@@ -79,6 +87,14 @@ class Encoder:
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """Ids of each text as bytes of ``dtype``, and the id ``end`` after them."""
+        last = np.array([end], self.dtype).tobytes()
+        if not any(t and any(a in t for a in self.added) for t in texts):
+            return self._encode(texts, last)
+        cuts = [self.at_added.split(t) if t else [t] for t in texts]  # pieces, and between them added tokens
+        pieces = iter(self._encode([p for cut in cuts for p in cut[::2]], b""))
+        return [b"".join(self.added[p] if k % 2 else next(pieces) for k, p in enumerate(cut)) + last for cut in cuts]
+
+    def _encode(self, texts: list[str | None], last: bytes) -> list[bytes]:
         if len(self.first) + len(self.next) + len(self.loose) > _CACHED:
             for cache in (self.first, self.next, self.loose):
                 cache.clear()
@@ -99,18 +115,18 @@ class Encoder:
         self._add(self.next, after, " ")
         for p in loose.difference(self.loose):
             self.loose[p] = self._ids(p)
-        last, start, rest, whole = np.array([end], self.dtype).tobytes(), self.first, self.next.__getitem__, self.loose.__getitem__
+        start, rest, whole = self.first, self.next.__getitem__, self.loose.__getitem__
         return [
             last if plan is None else b"".join(map(whole, plan)) + last if isinstance(plan[0], str) else self.line.join([start[x[0]] + b"".join(map(rest, x[1:])) for x in plan]) + last
             for plan in plans
         ]
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _loaded:
+def encoder(path: str, added: bool = False) -> Encoder:
+    if (path, added) not in _loaded:
         _loaded.clear()
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+        _loaded[path, added] = Encoder(path, added)
+    return _loaded[path, added]
 
 
 def _schema(length: int, dtype: np.dtype) -> pa.Schema:
@@ -130,9 +146,9 @@ def _batch(data: bytes, length: int, dtype: np.dtype, schema: pa.Schema) -> pa.R
     return pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(full), length), pa.FixedSizeListArray.from_arrays(pa.array(mask), length)], schema=schema)
 
 
-def _write(folder: str, tokenizer: str, end: int, length: int, sequences: int):
+def _write(folder: str, tokenizer: str, end: int, length: int, sequences: int, added: bool):
     def write(batches):
-        shard, enc = TaskContext.get().partitionId(), encoder(tokenizer)
+        shard, enc = TaskContext.get().partitionId(), encoder(tokenizer, added)
         schema, step = _schema(length, enc.dtype), length * enc.dtype.itemsize
         docs = tokens = rows = 0
         waiting = bytearray()
@@ -160,19 +176,19 @@ def _write(folder: str, tokenizer: str, end: int, length: int, sequences: int):
     return write
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end: int = 0, length: int = 2048, sequences: int = 64, shard_mb: int = 16):
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end: int = 0, length: int = 2048, sequences: int = 64, shard_mb: int = 16, added: bool = False):
     """Encode every whole text, add id ``end``, and write the shards. Returns the folder and the manifest.
 
     Manifest: a row a shard (shard, n_docs, n_tokens, n_sequences), in document order, collected: its rows are as many as
     partitions. A null text has only the end id. Null ids come first; rows of one id are ordered by text. An empty table
-    gives shards without documents. Other columns are not read, whatever their names.
+    gives shards without documents. Other columns are not read, whatever their names. ``added``: strings of added tokens become their ids (see ``Encoder``).
     """
     folder = folder or new_folder(docs.sparkSession, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(size / (shard_mb << 20)))
     ordered = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = ordered.mapInArrow(_write(folder, tokenizer, end, length, sequences), "shard int, n_docs long, n_tokens long, n_sequences long").collect()
+    manifest = ordered.mapInArrow(_write(folder, tokenizer, end, length, sequences, added), "shard int, n_docs long, n_tokens long, n_sequences long").collect()
     return folder, sorted(manifest)
 
 
