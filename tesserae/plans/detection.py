@@ -106,8 +106,12 @@ _PIXELS = "px AS (SELECT DISTINCT l_suppkey % 20 AS image, l_linenumber AS mask,
     f"WITH {_PIXELS}, i AS (SELECT a.image, a.mask AS a, b.mask AS b, count(*) AS i FROM px a JOIN px b USING (image, x, y) WHERE a.mask < b.mask GROUP BY 1, 2, 3) SELECT i.image, a, b, i, round(i / CAST(greatest(p.n + q.n - i, 1) AS DOUBLE), 6) AS iou, round(i / CAST(least(p.n, q.n) AS DOUBLE), 6) AS iom FROM i JOIN sz p ON p.image = i.image AND p.mask = a JOIN sz q ON q.image = i.image AND q.mask = b",
 )
 def mask_overlaps(spark, sf):
+    """Over the pixels that its SQL names, a third of the rows in 20 images; ``mask_overlaps_whole`` takes all rows."""
+    return _mask_overlaps(_pixels(spark, sf))
+
+
+def _mask_overlaps(px):
     """Masks as sets of pixels: an equi-join by pixel counts what two share. Only masks of one image meet."""
-    px = _pixels(spark, sf)
     size = px.groupBy("image", "mask").agg(F.count("*").alias("n"))
     side = lambda d, c: d.withColumnsRenamed({"mask": c, "n": f"n{c}"})
     shared = side(px, "a").join(side(px, "b"), ["image", "x", "y"]).where("a < b").groupBy("image", "a", "b").agg(F.count("*").alias("i"))
@@ -124,7 +128,33 @@ def _pixels(spark, sf):
 @query("mask_boxes", f"WITH {_PIXELS} SELECT image, mask, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2, count(*) AS area FROM px GROUP BY 1, 2")
 def mask_boxes(spark, sf):
     """Corners that hold the last pixel in; ``tight_box_of_points`` gives sizes, one more."""
-    return _pixels(spark, sf).groupBy("image", "mask").agg(F.min("x").alias("x1"), F.min("y").alias("y1"), F.max("x").alias("x2"), F.max("y").alias("y2"), F.count("*").alias("area"))
+    return _mask_boxes(_pixels(spark, sf))
+
+
+def _mask_boxes(px):
+    return px.groupBy("image", "mask").agg(F.min("x").alias("x1"), F.min("y").alias("y1"), F.max("x").alias("x2"), F.max("y").alias("y2"), F.count("*").alias("area"))
+
+
+#: All rows; fifty orders are an image, so images grow with the table.
+_ALL_PIXELS = "px AS (SELECT DISTINCT l_orderkey // 50 AS image, l_linenumber AS mask, l_partkey % 16 AS x, l_suppkey % 16 AS y FROM lineitem)"
+
+
+def _all_pixels(spark, sf):
+    image = F.floor(F.col("l_orderkey") / 50).alias("image")
+    return table(spark, sf, "lineitem").select(image, F.col("l_linenumber").alias("mask"), (F.col("l_partkey") % 16).alias("x"), (F.col("l_suppkey") % 16).alias("y")).distinct()
+
+
+@query(
+    "mask_overlaps_whole",
+    f"WITH {_ALL_PIXELS}, sz AS (SELECT image, mask, count(*) AS n FROM px GROUP BY 1, 2), i AS (SELECT a.image, a.mask AS a, b.mask AS b, count(*) AS i FROM px a JOIN px b USING (image, x, y) WHERE a.mask < b.mask GROUP BY 1, 2, 3) SELECT i.image, a, b, i, round(i / CAST(p.n + q.n - i AS DOUBLE), 6) AS iou, round(i / CAST(least(p.n, q.n) AS DOUBLE), 6) AS iom FROM i JOIN sz p ON p.image = i.image AND p.mask = a JOIN sz q ON q.image = i.image AND q.mask = b",
+)
+def mask_overlaps_whole(spark, sf):
+    return _mask_overlaps(_all_pixels(spark, sf))
+
+
+@query("mask_boxes_whole", f"WITH {_ALL_PIXELS} SELECT image, mask, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2, count(*) AS area FROM px GROUP BY 1, 2")
+def mask_boxes_whole(spark, sf):
+    return _mask_boxes(_all_pixels(spark, sf))
 
 
 _TURNED = f"{DET}, rb AS (SELECT image_id, n, kind, x + w / 2.0 AS cx, y + h / 2.0 AS cy, w, h, (n * 15 - 120) AS a FROM det)"
