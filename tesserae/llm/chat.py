@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 START, MESSAGE, END, ESCAPE = "<|start|>", "<|message|>", "<|end|>", "␛"
 #: Control strings of common templates, without their first character.
 _CONTROL = r"\||/?s>|/?INST\]|</?SYS>>|(?:pad|unk|bos|eos|mask)>|(?:start|end)_of_turn>"
+#: Spark's JSON reader takes no string value of more characters, and gives null for a record that holds one.
+_LONGEST = 20_000_000
 _TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -73,9 +75,12 @@ def canonical(records: DataFrame, id_col: str, record_col: str, layouts=LAYOUTS)
     """``id``, ``layout`` and ``turns`` of each JSON record. A record of no declared layout, or that is no JSON, has null for both.
 
     Missing or null values are empty texts. Rows that repeat are each mapped. Other columns are not read, whatever their names.
+    A record of over 20 million characters that the JSON reader doesn't take is an error, as it can be JSON with a longer string.
     """
     d = records.select(F.col(id_col).alias("id"), F.col(record_col).alias("r"))
-    d = d.select("id", "r", F.when(F.try_parse_json("r").isNotNull(), fingerprint(F.col("r"))).alias("fp"))
+    fp = F.when(F.try_parse_json("r").isNotNull(), fingerprint(F.col("r")))
+    too_long = F.concat(F.lit("no JSON, or a string of more than 20,000,000 characters, in the record of id "), F.coalesce(F.col("id").cast("string"), F.lit("null")))
+    d = d.select("id", "r", fp.alias("fp")).withColumn("fp", F.when(F.col("fp").isNull() & (F.length("r") > _LONGEST), F.raise_error(too_long).cast("long")).otherwise(F.col("fp")))
     known = d.sparkSession.range(1).select(*(fingerprint(F.lit(json.dumps(x.example))) for x in layouts)).first()  # constants
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(_TURNS)
     for fp, x in zip(known, layouts):
