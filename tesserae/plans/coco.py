@@ -198,7 +198,7 @@ _TRK = f"{DET}, g AS (SELECT category, image_id AS fr, n, w * h AS a, x, y, w, h
 
 @query("masklet_iou", f"WITH {_TRK}, j AS (SELECT coalesce(g.category, p.category) AS category, coalesce(g.a, 0) AS ga, coalesce(p.a, 0) AS pa, CASE WHEN g.a IS NULL OR p.a IS NULL THEN 0 ELSE greatest(least(g.x + g.w, p.x + p.w) - greatest(g.x, p.x), 0) * greatest(least(g.y + g.h, p.y + p.h) - greatest(g.y, p.y), 0) END AS i FROM (SELECT * FROM g WHERE n = 1) g FULL JOIN (SELECT * FROM p WHERE n = 2) p ON g.category = p.category AND g.fr = p.fr) SELECT category, round(sum(i) / CAST(sum(ga + pa - i) AS DOUBLE), 6) AS iou FROM j GROUP BY 1")
 def masklet_iou(spark, sf):
-    """Overlap of two tracks over all frames that either has."""
+    """Overlap of two tracks over all frames that either has, of the pair that its SQL names; ``masklet_iou_pairs`` has all."""
     d = det(spark, sf)
     side = lambda k, n, p: d.where((F.col("kind") == k) & (F.col("n") == n)).select("category", "image_id", *(F.col(c).alias(f"{p}{c}") for c in "xywh"))
     j = side("F", 1, "g").join(side("O", 2, "p"), ["category", "image_id"], "full")
@@ -207,6 +207,22 @@ def masklet_iou(spark, sf):
     return j.groupBy("category").agg(F.round(F.sum(i) / F.sum(ga + pa - i).cast("double"), 6).alias("iou"))
 
 
+@query(
+    "masklet_iou_pairs",
+    f"WITH {_TRK}, gs AS (SELECT category, n, sum(a) AS a FROM g GROUP BY 1, 2), ps AS (SELECT category, n, sum(a) AS a FROM p GROUP BY 1, 2), o AS (SELECT g.category, g.n AS gn, p.n AS pn, sum(greatest(least(g.x + g.w, p.x + p.w) - greatest(g.x, p.x), 0) * greatest(least(g.y + g.h, p.y + p.h) - greatest(g.y, p.y), 0)) AS i FROM g JOIN p ON g.category = p.category AND g.fr = p.fr GROUP BY 1, 2, 3) SELECT gs.category, gs.n AS gn, ps.n AS pn, round(coalesce(i, 0) / CAST(gs.a + ps.a - coalesce(i, 0) AS DOUBLE), 6) AS iou FROM gs JOIN ps ON gs.category = ps.category LEFT JOIN o ON o.category = gs.category AND o.gn = gs.n AND o.pn = ps.n",
+)
+def masklet_iou_pairs(spark, sf):
+    """All pairs of a ground-truth and a predicted track of a category: frames of one side count by the tracks' areas, so overlaps need only the frames that both have."""
+    d = det(spark, sf)
+    side = lambda k, p: d.where(F.col("kind") == k).select("category", "image_id", *(F.col(c).alias(f"{p}{c}") for c in "nxywh"))
+    g, p = side("F", "g"), side("O", "p")
+    both = g.join(p, ["category", "image_id"]).groupBy("category", "gn", "pn").agg(F.sum(B.overlap("g", "p")).alias("i"))
+    area = lambda t, c: t.groupBy("category", f"{c}n").agg(F.sum(B.area(c)).alias(f"{c}a"))
+    j = area(g, "g").join(area(p, "p"), "category").join(both, ["category", "gn", "pn"], "left")
+    i = F.coalesce("i", F.lit(0))
+    return j.select("category", "gn", "pn", F.round(i / (F.col("ga") + F.col("pa") - i).cast("double"), 6).alias("iou"))
+
+
 @query("detection_counts", f"WITH {DET} SELECT category, count(*) FILTER (WHERE kind = 'O') AS dets, count(*) FILTER (WHERE kind = 'F') AS gt_dets, count(DISTINCT CASE WHEN kind = 'O' THEN n END) AS ids, count(DISTINCT CASE WHEN kind = 'F' THEN n END) AS gt_ids, count(DISTINCT image_id) AS frames FROM det GROUP BY 1")
 def detection_counts(spark, sf):
     d, is_d = det(spark, sf), F.col("kind") == "O"
