@@ -2,13 +2,16 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.llm import cases
 from tesserae.llm.components import connected_components
 from tesserae.llm.golay import codewords
-from tesserae.llm.simhash import _keys, fingerprint, keep_first, linked, near_duplicates
+from tesserae.llm.simhash import _CUTS, _ORDERED, _finer, _keys, _links, fingerprint, keep_first, linked, near_duplicates
 
 
 def plain_fingerprint(text, k=4):
@@ -103,8 +106,72 @@ def test_components(spark):
     assert got == {7: 3, 9: 8} | {k: 8 for k in range(100, 141)}
 
 
-def test_keep_first_and_empty(spark):
+def kept_by_brute_force(rows):
+    """Rows (id, text) that stay: of each group of linked fingerprints the first by id (null last); repeats of a row are one."""
+    numbered = list(enumerate(sorted(set(rows), key=str)))
+    groups = plain_components([(k, t) for k, (_, t) in numbered])
+    by = {}
+    for k, row in numbered:
+        by.setdefault(groups[k][1], []).append(row)
+    return [{r for r in g if r[0] is None or r[0] == min((x[0] for x in g if x[0] is not None))} if any(x[0] is not None for x in g) else set(g) for g in by.values()]
+
+
+def test_keep_first_is_by_row(spark):
+    t, u, v = cases.words(60, 1), cases.words(70, 2), cases.words(50, 3)
+    rows = [(2, t), (5, t), (5, u), (9, u + " " + v), (9, v), (2, t), (None, t), (None, None), (None, "  "), (None, cases.words(40, 9)), (7, ""), (8, v + " "), (5, v)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"fp": F.lit(1), "row": F.lit("x"), "rn": F.lit(2), "k_id": F.lit(3), "tie": F.lit(4), "m": F.create_map(F.lit("a"), F.lit("b"))})
+    kept = keep_first(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    expected = kept_by_brute_force(rows)
+    assert len(got) == len(expected)
+    for group in expected:
+        assert sum(x in group for x in got) == 1
+    assert {(2, t), (5, u), (9, u + " " + v)} < set(got) and (5, t) not in got and (None, t) not in got
+
+
+def test_large_keys_are_split_without_loss():
+    r = np.random.default_rng(8)
+    base = r.integers(0, 2**63, 1)[0]
+    f = np.unique(np.concatenate([base ^ (np.int64(1) << r.integers(0, 63, 40)) ^ (np.int64(1) << r.integers(0, 63, 40)) for _ in range(5)]))
+    for kind, ((a, _), (at, width)) in enumerate(zip(_ORDERED, [_CUTS[a] for a, _ in _ORDERED])):
+        exact = np.uint64(((1 << width) - 1) << at)
+        own = ((f.view(np.uint64) & ~exact) | (np.uint64(base) & exact)).view(np.int64)
+        met = {}
+        for sub, _, x in _finer(kind << 34, np.zeros(len(own), np.int8), own):
+            for k, y in zip(sub.tolist(), x.tolist()):
+                met.setdefault(k, set()).add(y)
+        near = {(x, y) for x in own.tolist() for y in own.tolist() if x < y and ((x ^ y) & (2**64 - 1)).bit_count() <= 4}
+        assert near and all(any({x, y} <= g for g in met.values()) for x, y in near)
+
+
+def test_small_bound_gives_the_same_groups(spark):
+    r, rows = random.Random(5), []
+    for k in range(80):
+        w = cases.words(500, k % 8, 400).split()
+        for _ in range(k // 12):
+            w[r.randrange(len(w))] = f"new{r.random()}"
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.id: (x.fp % 2**64, x.component_id) for x in near_duplicates(docs, most=2).collect()} == plain_components(rows)
+
+
+def test_keys_that_span_batches(monkeypatch):
+    monkeypatch.setattr("tesserae.llm.simhash._ENTRIES_AT_ONCE", 5)
+    r = np.random.default_rng(4)
+    key = np.sort(np.concatenate([np.full(30, 7), np.full(9, 8), r.integers(9, 20, 40), np.full(25, 50)])).astype(np.int64)
+    f = r.integers(0, 4, len(key)) + 1000 * key
+    role = np.zeros(len(key), np.int8)
+    for most in (None, 8, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + 4]) for x in (key, role, f)], ["key", "role", "fp"]) for i in range(0, len(key), 4)]
+        out = pa.Table.from_batches(list(_links(64, most)(iter(batches))))
+        linked_rows = out.filter(pa.compute.is_null(out["role"]))
+        again = out.filter(pa.compute.is_valid(out["role"]))
+        assert again.num_rows == (0 if most != 8 else 15 * (30 + 9 + 25 + sum(n for n in np.bincount(key[(key > 8) & (key < 50)]) if n > 8)))
+        if most != 8:
+            assert linked_rows.num_rows == sum(len(np.unique(f[key == k])) - 1 for k in np.unique(key))
+
+
+def test_empty(spark):
     assert near_duplicates(cases.empty(spark)).count() == 0
-    t = cases.words(60, 1)
-    docs = spark.createDataFrame([(5, t), (2, t), (2, t), (None, t), (7, "other words here are different")], "doc_id long, text string")
-    assert sorted((-1 if r.doc_id is None else r.doc_id) for r in keep_first(docs).collect()) == [-1, 2, 7]
+    assert keep_first(cases.empty(spark)).count() == 0
