@@ -1,4 +1,4 @@
-"""Labelled rows for training: the fold rule, and a bounded sample of features."""
+"""Labelled rows for training: the fold rule, and a sample bounded in rows and in bytes."""
 
 from __future__ import annotations
 
@@ -6,7 +6,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.shared import checkpointed
+
 FOLDS = 5
+_HASH = 1 << 62
+_TASKS = 32  # of the sample, which is small whatever the tables are
 
 
 def held_out(id_col: Column) -> Column:
@@ -14,18 +18,32 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % FOLDS == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, most_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, y) of rows outside the held-out fold, ``most_rows`` at most (about: they are drawn by a hash of the id).
+def threshold(wanted: int, found: int) -> int:
+    """Of 62-bit hashes, those below it are ``wanted`` of ``found``, about."""
+    return _HASH if found <= wanted else wanted * _HASH // found
+
+
+def _drawn(seed: int, bound: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 2) < F.lit(bound)
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, most_rows: int, most_mb: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, y) of rows outside the held-out fold, written to the shared folder: about ``most_rows`` labels and ``most_mb`` MB of texts at most.
 
-    Rows of a null id or label are left out; of several labels for an id the largest holds; repeated documents are each a row. The chosen labels are
-    bounded by ``most_rows``, so they are broadcast and texts are not shuffled.
+    Rows are drawn by a hash of the id. A text of over a sixteenth of ``most_mb`` teaches nothing (it is scored like any other). Rows of a null id or
+    label are left out; of several labels for an id the largest holds; repeated documents are each a row. The drawn labels are bounded by
+    ``most_rows``, so they are broadcast and the table of texts is not shuffled.
     """
     own = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     own = own.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
-    n = own.count()
-    if n > most_rows:
-        own = own.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 20)) < int(most_rows / n * (1 << 20)))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(own), "id")
+    if (bound := threshold(most_rows, own.count())) < _HASH:
+        own = own.where(_drawn(5, bound))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(size <= (most_mb << 20) // 16)
+    rows = checkpointed(texts.join(F.broadcast(own), "id").repartition(_TASKS, "id"))
+    if (bound := threshold(most_mb << 20, rows.agg(F.sum(size)).first()[0] or 0)) < _HASH:
+        rows = rows.where(_drawn(6, bound))
+    return rows
 
 
 def sigmoid(z):

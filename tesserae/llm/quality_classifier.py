@@ -1,7 +1,7 @@
 """Quality by naive Bayes support vectors: n-gram indicators scaled by class log-count ratios, under a linear hinge loss.
 
 N-grams are of words (one and two) and of word shapes (one and two; runs of lower-case or non-ASCII, upper-case and digits as a letter each, other bytes as they
-are, once a run), whether a word repeats the one before, and how often. The loss is minimised by dual coordinate descent, and a logistic curve of the margin, fitted on rows that the machine did not see, gives the score.
+are, once a run). The loss is minimised by dual coordinate descent, and a logistic curve of the margin, fitted on rows that the machine did not see, gives the score.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from tesserae.llm.labelled import calibrated, held_out, sigmoid, training_rows
 from tesserae.llm.words import SPACE, U, Words, mix
 
 BITS = 20
+MOST_ROWS, MOST_MB = 12_000, 32  # of the labelled rows that are learned from
 _SHAPE = np.array([ord("A") if 65 <= c <= 90 else ord("a") if 97 <= c <= 122 or c >= 128 else ord("0") if 48 <= c <= 57 else 10 if SPACE[c] else c for c in range(256)], np.uint8)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -35,11 +36,6 @@ def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         of, h = w.text_of(), w.hashes()
         two = w.inside(2)
         parts += [(of, h ^ U(7 * kind + 1)), (of[: len(two)][two], w.windows(2)[two] ^ U(7 * kind + 2))]
-        if kind == 0 and len(h) > 1:
-            same = np.flatnonzero(two & (h[1:] == h[:-1]))
-            parts.append((of[same], np.full(len(same), 3, U)))
-            share = np.bincount(of[same], minlength=len(data)) / np.maximum(w.count, 1)
-            parts.append((np.arange(len(data)), U(16) + np.minimum(share * 10, 9).astype(U)))  # in tenths
     key = np.concatenate([(of.astype(U) << U(32)) | (mix(h) >> U(64 - BITS)) for of, h in parts])
     key = np.unique(key)
     return (key & U((1 << 32) - 1)).astype(np.int64), np.searchsorted(key >> U(32), np.arange(len(texts) + 1).astype(U))
@@ -107,9 +103,9 @@ def fit(examples: list[tuple[int, np.ndarray]]):
     return weight, ratio, *calibrated(margin, np.array([y for y, _ in rest]))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most_rows: int = 12_000):
-    """A model from at most about ``most_rows`` labelled rows outside the held-out fold; no other column is read."""
-    rows = training_rows(docs, labels, label_col, most_rows).select("y", "text").mapInArrow(_featured, "y int, f binary").collect()
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most_rows: int = MOST_ROWS, most_mb: int = MOST_MB):
+    """A model from a sample of the labelled rows outside the held-out fold (see ``training_rows``); no other column is read."""
+    rows = training_rows(docs, labels, label_col, most_rows, most_mb).select("y", "text").mapInArrow(_featured, "y int, f binary").collect()
     rows = sorted(((r.y, bytes(r.f)) for r in rows), key=lambda x: (zlib.crc32(x[1]), x))  # the same order for every partitioning
     return fit([(int(y > 0), np.frombuffer(f, "<u4")) for y, f in rows])
 
@@ -137,7 +133,11 @@ def score(docs: DataFrame, model, keep: list[str], text_col: str = "text") -> Da
     return rows.mapInArrow(_scored(shared), f"row {rows.schema['row'].dataType.simpleString()}, score double").select("row.*", "score")
 
 
-def quality(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000) -> DataFrame:
-    """doc_id, held_out, score and predicted (score of 0.3 or more) of each document."""
-    found = score(docs, train(docs, labels, most_rows=most_rows), ["doc_id"])
+def quality(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_mb: int = MOST_MB) -> DataFrame:
+    """doc_id, held_out, score and predicted (score of 0.3 or more) of each document.
+
+    Learned from at most about ``most_rows`` labelled rows and ``most_mb`` MB of their texts. Null and empty texts have the score of the offsets alone; a null
+    id counts as held out. Repeated rows are each scored; without labels of both classes all score alike; an empty table gives an empty result; other columns are not read.
+    """
+    found = score(docs, train(docs, labels, most_rows=most_rows, most_mb=most_mb), ["doc_id"])
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -12,14 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.labelled import held_out, sigmoid, training_rows
-from tesserae.llm.shared import checkpointed
 from tesserae.llm.words import U, Words, mix
 
 #: Lower-cased letters, digits and non-ASCII bytes; sentence ends and line ends become line ends, the rest spaces.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 10 if c in b".!?\n" else 32 for c in range(256))
 _BEGINNINGS = (3, 4, 5, 6, 7)  # bytes
 _NONE = 0xFFFFFFFF
-MOST_ROWS, MOST_CANDIDATES, MOST_FEATURES = 20_000, 50_000, 2_048
+MOST_ROWS, MOST_MB = 20_000, 64  # of the labelled rows that are learned from
 
 
 def bags(texts: list[str | None]):
@@ -74,8 +73,6 @@ def candidates(documents: list[tuple[str, np.ndarray]], base: float) -> tuple[np
     features, col = np.unique(every, return_inverse=True)
     n1 = np.bincount(col, np.repeat(1.0 / size[of], [len(f) for _, f in documents]))
     ok = (n1 * -np.log(base) > np.log(len(features)) + 5.0) & (features != _NONE)
-    least = np.sort(n1[ok])[-MOST_CANDIDATES] if ok.sum() > MOST_CANDIDATES else 0.0
-    ok &= n1 >= least
     return features[ok], n1[ok], float((1.0 / size[of]).sum()), len(features)
 
 
@@ -101,29 +98,27 @@ def hits(f: list[np.ndarray], s: np.ndarray, features: np.ndarray) -> tuple[np.n
 
 
 def _clean_counts(shared):
-    """How many clean documents of a partition have each candidate: one row."""
+    """How many clean documents of a partition have each candidate that any has."""
 
     def count(batches):
-        features, total, n = shared.value, np.zeros(len(shared.value), np.int64), 0
+        features, total = shared.value, np.zeros(len(shared.value), np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
-                t = batch.slice(at, 128)
-                f, _, _, w = bags(t.column("text").to_pylist())
+                f, _, _, w = bags(batch.slice(at, 128).column("text").to_pylist())
                 row, col = hits(f, w.text_of(), features)
                 total += np.bincount(np.unique(row * len(features) + col) % max(len(features), 1), minlength=len(features))
-                n += t.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()], pa.binary()), pa.array([n], pa.int64())], ["n0", "n"])
+        col = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(col), pa.array(total[col])], ["col", "n"])
 
     return count
 
 
 def chosen(n1: np.ndarray, toxic: float, n0: np.ndarray, clean: float, tested: int) -> np.ndarray:
-    """Columns whose share of toxic documents is above the base rate by more than the best of ``tested`` would reach by chance, the strongest at most."""
+    """Columns whose share of toxic documents is above the base rate by more than the best of ``tested`` would reach by chance."""
     base, n = toxic / (toxic + clean), n0 + n1
     q = np.clip(n1 / np.maximum(n, 1e-12), 1e-9, 1 - 1e-9)
     gain = np.where(q > base, n * (q * np.log(q / base) + (1 - q) * np.log((1 - q) / (1 - base))), 0.0)
-    good = np.flatnonzero(gain > np.log(max(tested, 2)) + 5.0)
-    return np.sort(good[np.argsort(-gain[good], kind="stable")[:MOST_FEATURES]])
+    return np.flatnonzero(gain > np.log(max(tested, 2)) + 5.0)
 
 
 def _hit(shared):
@@ -137,13 +132,29 @@ def _hit(shared):
                 n = np.bincount(row, minlength=len(of))
                 cut, ends = np.searchsorted(of, np.arange(t.num_rows + 1)), np.append(0, np.cumsum(n))
                 yield pa.RecordBatch.from_arrays(
-                    [t.column("y"), pa.array([col[ends[i] : ends[j]].astype("<u2").tobytes() for i, j in zip(cut, cut[1:])], pa.binary()), pa.array([n[i:j].astype("<u2").tobytes() for i, j in zip(cut, cut[1:])], pa.binary())],
+                    [t.column("y"), *(pa.array([x.astype("<u4").tobytes() for x in part], pa.binary()) for part in ([col[ends[i] : ends[j]] for i, j in zip(cut, cut[1:])], [n[i:j] for i, j in zip(cut, cut[1:])]))],
                     ["y", "c", "n"],
                 )
 
     return find
 
 
+def gradient(weight: np.ndarray, y: np.ndarray, f: np.ndarray, n: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Of the mean negative log-likelihood of documents (labels ``y``) under the noisy-or of their sentences, by the weights and the offset (last).
+
+    ``count`` has the sentences of each document, ``n`` the features of each sentence, ``f`` those features.
+    """
+    s, first = np.repeat(np.arange(len(n)), n), np.cumsum(count) - count
+    p = sigmoid(weight[-1] + np.bincount(s, weight[f], minlength=len(n)))
+    none = np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-12)), first)
+    some = np.maximum(-np.expm1(none), 1e-9)
+    of_doc = np.where(y > 0, -np.exp(none) / some, 1.0)  # by a sentence's margin, over its score
+    g = np.repeat(of_doc, count) * p / len(y)
+    grad = np.bincount(f, g[s], minlength=len(weight)).astype(float)
+    grad[-1] += g.sum()
+    return grad
+
+
 def fit(examples: list[tuple[int, np.ndarray, np.ndarray]], k: int, epochs: int = 40, batch: int = 512, rate: float = 0.3, decay: float = 1e-6, seed: int = 1) -> np.ndarray:
     """Weights of ``k`` features and the offset from (label, features, features per sentence) of each document, by AdaGrad on the noisy-or likelihood."""
     weight, square = np.full(k + 1, 4.0), np.full(k + 1, 1e-6)  # each was chosen because it marks toxic documents
@@ -155,18 +166,9 @@ def fit(examples: list[tuple[int, np.ndarray, np.ndarray]], k: int, epochs: int
         for some in np.array_split(order.permutation(len(examples)), max(1, len(examples) // batch)):
             if not len(some):
                 continue
-            y = np.array([examples[d][0] for d in some], float)
-            f = np.concatenate([examples[d][1] for d in some]).astype(np.int64)
-            n = np.concatenate([examples[d][2] for d in some])
+            y, f, n = (np.concatenate([np.atleast_1d(examples[d][c]) for d in some]) for c in range(3))
             count = np.array([len(examples[d][2]) for d in some])
-            s, first = np.repeat(np.arange(len(n)), n), np.cumsum(count) - count
-            p = sigmoid(weight[-1] + np.bincount(s, weight[f], minlength=len(n)))
-            none = np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-12)), first)
-            some_p = np.maximum(-np.expm1(none), 1e-9)
-            of_doc = np.where(y > 0, -np.exp(none) / some_p, 1.0)  # of -log likelihood, by a sentence's margin, over its score
-            g = np.repeat(of_doc, count) * p / len(some)
-            grad = np.bincount(f, g[s], minlength=k + 1) + decay * np.append(weight[:-1], 0.0)
-            grad[-1] += g.sum()
+            grad = gradient(weight, y, f.astype(np.int64), n, count) + decay * np.append(weight[:-1], 0.0)
             square += grad**2
             weight -= rate * grad / np.sqrt(square)
     return weight
@@ -175,26 +177,30 @@ def fit(examples: list[tuple[int, np.ndarray, np.ndarray]], k: int, epochs: int
 Model = tuple[np.ndarray, np.ndarray]
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most_rows: int = MOST_ROWS) -> Model:
-    """(features, weights and offset) from at most about ``most_rows`` labelled rows outside the held-out fold; no other column is read.
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most_rows: int = MOST_ROWS, most_mb: int = MOST_MB) -> Model:
+    """(features, weights and offset) from a sample of the labelled rows outside the held-out fold (see ``training_rows``); no other column is read.
 
-    What comes to the driver is bounded by that sample: the different features of its toxic documents, a count per candidate and
-    partition, then the places of at most MOST_FEATURES chosen ones.
+    What comes to the driver is bounded by that sample: the different features of its toxic documents, a count per candidate, then
+    the places of the features that stand out. No feature that passes the tests is dropped.
     """
-    rows = checkpointed(training_rows(docs, labels, label_col, most_rows).select("y", "text"))
-    share = rows.agg(F.avg((F.col("y") > 0).cast("int"))).first()[0] or 0.0
+    rows = training_rows(docs, labels, label_col, most_rows, most_mb).select("y", "text")
+    share, documents_in_all = rows.agg(F.avg((F.col("y") > 0).cast("int")), F.count("*")).first()
+    share = share or 0.0
     if not 0 < share < 1:
         return np.zeros(0, np.uint32), np.array([np.log((share + 1e-3) / (1 - share + 1e-3))])
     share_of = docs.sparkSession.sparkContext.broadcast
     toxic = rows.where("y > 0").select("text").mapInArrow(_toxic_features, "f binary, g string").collect()
+    clean = documents_in_all - len(toxic)
     features, n1, documents, tested = candidates([(r.g, np.frombuffer(bytes(r.f), "<u4")) for r in toxic], share)
     del toxic
-    counts = rows.where("y <= 0").select("text").mapInArrow(_clean_counts(share_of(features)), "n0 binary, n long").collect()
-    n0 = sum((np.frombuffer(bytes(r.n0), "<i8") for r in counts), np.zeros(len(features), np.int64))
-    features = features[chosen(n1, documents, n0, sum(r.n for r in counts), tested)]
+    counts = rows.where("y <= 0").select("text").mapInArrow(_clean_counts(share_of(features)), "col long, n long").groupBy("col").agg(F.sum("n").alias("n")).collect()
+    n0 = np.zeros(len(features), np.int64)
+    for r in counts:
+        n0[r.col] = r.n
+    features = features[chosen(n1, documents, n0, clean, tested)]
     found = rows.mapInArrow(_hit(share_of(features)), "y int, c binary, n binary").collect()
     found = sorted((int(r.y > 0), bytes(r.c), bytes(r.n)) for r in found)  # the same order for every partitioning
-    return features, fit([(y, np.frombuffer(c, "<u2"), np.frombuffer(n, "<u2").astype(np.int64)) for y, c, n in found], len(features))
+    return features, fit([(y, np.frombuffer(c, "<u4"), np.frombuffer(n, "<u4").astype(np.int64)) for y, c, n in found], len(features))
 
 
 def sentence_scores(texts: list[str | None], model: Model):
@@ -239,12 +245,16 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
     A null text, or one without words, has score 0. Repeated rows are each scored; an empty table gives an empty result. Columns not in ``keep`` are not read.
     """
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_FEATURES numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # features of the bounded sample
     made = rows.mapInArrow(_scored(shared, least), f"row {rows.schema['row'].dataType.simpleString()}, score double, offending array<struct<start:int,end:int,score:double>>")
     return made.select("row.*", "score", "offending")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted (score of 0.5 or more) and offending sentences of each document."""
-    found = score(docs, train(docs, labels, most_rows=most_rows), ["doc_id"])
+def toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_mb: int = MOST_MB) -> DataFrame:
+    """doc_id, held_out, score, predicted (score of 0.5 or more) and offending sentences of each document.
+
+    Learned from at most about ``most_rows`` labelled rows and ``most_mb`` MB of their texts. Null and empty texts have score 0; a null id counts as held out.
+    Repeated rows are each scored; without labels of both classes all sentences score alike; an empty table gives an empty result; other columns are not read.
+    """
+    found = score(docs, train(docs, labels, most_rows=most_rows, most_mb=most_mb), ["doc_id"])
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
