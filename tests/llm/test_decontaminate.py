@@ -1,7 +1,9 @@
 import hashlib
+import random
 
 from tests.llm import cases
-from tesserae.llm.decontaminate import brute_force, scan
+from tesserae.llm.decontaminate import brute_force, built, scan
+from tesserae.llm.shared import checkpointed
 
 
 def items():
@@ -22,11 +24,30 @@ def test_matches_brute_force(spark):
 
 
 def test_several_automata_agree(spark, monkeypatch):
-    import tesserae.llm.decontaminate as m
+    long_item = [(11, cases.words(6000, 21)), (12, cases.words(6000, 21)[-400:])]
+    bench = spark.createDataFrame([*items(), *long_item], "item_id long, text string")
+    texts = [*cases.texts(), cases.words(6000, 21)[5000:9000]]
+    docs = cases.documents(spark).select("doc_id", "text").unionByName(spark.createDataFrame([(len(texts) - 1, texts[-1])], "doc_id long, text string"))
+    made = []
+    monkeypatch.setattr("tesserae.llm.decontaminate.checkpointed", lambda df: made.append(0) or checkpointed(df))
+    assert collected(scan(docs, bench, ["doc_id"], automaton_mb=1.5)) == brute_force(list(enumerate(texts)), [*items(), *long_item])
+    assert len(made) > 2
 
+
+def test_the_automaton_is_as_large_as_estimated():
+    r = random.Random(1)
+    pieces = [(str(k), " ".join(f"w{r.randrange(20_000)}" for _ in range(200))) for k in range(200)]
+    a = built(pieces, 8)
+    assert len(a.items) == 200 * 193
+    assert a.found.get_stats()["total_size"] < len(a.items) * 16 * 44
+
+
+def test_kept_columns_of_clashing_names(spark):
+    docs = cases.documents(spark)
     bench = spark.createDataFrame(items(), "item_id long, text string")
-    monkeypatch.setattr(m.math, "ceil", lambda x: 3)
-    assert collected(scan(cases.documents(spark), bench, ["doc_id"])) == brute_force(list(enumerate(cases.texts())), items())
+    got = scan(docs, bench, ["doc_id", "items", "n_words", "spans", "row", "text"])
+    assert got.columns == ["doc_id", "doc_items", "doc_n_words", "doc_spans", "row", "text", "n_words", "n_hit", "items", "word_spans", "spans"]
+    assert {r.doc_n_words for r in got.collect()} == {"clash"}
 
 
 def test_offsets_are_of_the_original(spark):
