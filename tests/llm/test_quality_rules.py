@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from tests.llm import cases
 from tesserae.llm.quality_rules import RULES, apply_rules, base_figures, order_rules
 
@@ -39,12 +41,22 @@ def test_the_order_of_rules_changes_nothing(spark):
 
 
 def test_rules_are_ordered_by_rejections_per_cost(spark):
-    from pyspark.sql import functions as F
-
     docs = spark.createDataFrame([(k, "A B!! " * 60) for k in range(50)], "doc_id long, text string")
     found = order_rules(base_figures(docs, F.col("text"), ["doc_id"]))
     scores = [share / cost for _, share, cost in found]
     assert scores == sorted(scores, reverse=True) and len(found) == len(RULES)
+    assert [r.name for r, share, _ in found if share] == ["word_length", "exclamations", "shouting"]
+
+
+def test_the_order_is_the_same_in_every_run(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    figures = base_figures(docs, F.col("text"), ["doc_id"])
+    assert len({tuple(r.name for r, _, _ in order_rules(figures)) for _ in range(5)}) == 1
+
+
+def test_kept_columns_of_clashing_names(spark):
+    got = apply_rules(cases.documents(spark).withColumn("kept", F.lit("x")), ["doc_id", "n_words", "kept", "row"])
+    assert got.columns[:4] == ["doc_id", "doc_n_words", "doc_kept", "row"] and {r.doc_kept for r in got.collect()} == {"x"}
 
 
 def test_empty(spark):
