@@ -28,7 +28,6 @@ _ODD = re.compile(r"[^\S \n]")
 _CACHED = 600_000  # words; a worker starts anew beyond it
 
 
-
 def _loose(t: str) -> bool:
     """White space other than single spaces and line ends between visible characters."""
     return "  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[0] in " \n" or t[-1] in " \n" or _ODD.search(t) is not None
@@ -44,11 +43,11 @@ class Encoder:
     text has no other white space, its ids are those of its words, each with the space before it, and of the line ends. Other
     texts are cut at such spaces alone.
 
-    With ``added``, as the plain call does, the string of an added token in a text is that token's one id, and the text is cut there
+    With ``added``, as the plain call of the library does, the string of an added token in a text is that token's one id, and the text is cut there
     before its words are; without it, the string of a special token is ordinary text.
     """
 
-    def __init__(self, path: str, added: bool = False):
+    def __init__(self, path: str, added: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -122,7 +121,7 @@ class Encoder:
         ]
 
 
-def encoder(path: str, added: bool = False) -> Encoder:
+def encoder(path: str, added: bool = True) -> Encoder:
     if (path, added) not in _loaded:
         _loaded.clear()
         _loaded[path, added] = Encoder(path, added)
@@ -176,39 +175,52 @@ def _write(folder: str, tokenizer: str, end: int, length: int, sequences: int, a
     return write
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end: int = 0, length: int = 2048, sequences: int = 64, shard_mb: int = 16, added: bool = False):
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end: int = 0, length: int = 2048, sequences: int = 64, shard_mb: float = 16, most_shards: int = 20_000, added: bool = True):
     """Encode every whole text, add id ``end``, and write the shards. Returns the folder and the manifest.
 
-    Manifest: a row a shard (shard, n_docs, n_tokens, n_sequences), in document order, collected: its rows are as many as
-    partitions. A null text has only the end id. Null ids come first; rows of one id are ordered by text. An empty table
+    Manifest: a row a shard (shard, n_docs, n_tokens, n_sequences), in document order, collected: at most ``most_shards`` rows. Shards
+    have about ``shard_mb`` of text, more where that would make too many; a task streams its shard, whatever its size. A null text
+    has only the end id. Null ids come first; rows of one id are ordered by a hash of the text, and may be in several shards. An empty table
     gives shards without documents. Other columns are not read, whatever their names. ``added``: strings of added tokens become their ids (see ``Encoder``).
     """
     folder = folder or new_folder(docs.sparkSession, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, math.ceil(size / (shard_mb << 20)))
-    ordered = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    shards = min(most_shards, max(1, math.ceil(size / (shard_mb * 2**20))))
+    order = ["doc_id", F.xxhash64("text"), F.isnull("text")]
+    ordered = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     manifest = ordered.mapInArrow(_write(folder, tokenizer, end, length, sequences, added), "shard int, n_docs long, n_tokens long, n_sequences long").collect()
     return folder, sorted(manifest)
 
 
 def sequence(folder: str, shard: int, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of one sequence of a shard; of a local file, its pages alone are read (ids without a copy)."""
+    """Ids and mask of one sequence of a shard; of a local file, its pages alone are read (ids without a copy).
+
+    Batches but the last have as many sequences and bytes as the first, so the batch's place is computed, not looked for.
+    """
     fs, path = filesystem(f"{folder}/{shard:05d}.arrows")
     source = pa.memory_map(path) if fs.type_name == "local" else fs.open_input_file(path)
-    for batch in pa.ipc.open_stream(source):
-        if number < batch.num_rows:
-            ids, mask = batch.column(0), batch.column(1)
-            n = ids.type.list_size
-            return ids.flatten().to_numpy()[number * n : number * n + n], mask.slice(number, 1).flatten().to_numpy(zero_copy_only=False)
-        number -= batch.num_rows
-    raise IndexError(number)
-
-
-def _read(folder: str):
+    schema = pa.ipc.read_schema(pa.ipc.read_message(source))
+    try:
+        start = source.tell()
+        first = pa.ipc.read_message(source)
+        rows = pa.ipc.read_record_batch(first, schema).num_rows
+        if number < 0:
+            raise IndexError(number)
+        source.seek(start + number // rows * (source.tell() - start))
+        batch = pa.ipc.read_record_batch(pa.ipc.read_message(source), schema)
+    except (EOFError, OSError, pa.ArrowInvalid) as beyond:
+        raise IndexError(number) from beyond
+    if (k := number % rows) >= batch.num_rows:
+        raise IndexError(number)
+    ids, n = batch.column(0), schema.field("ids").type.list_size
+    return ids.flatten().to_numpy()[k * n : k * n + n], batch.column(1).slice(k, 1).flatten().to_numpy(zero_copy_only=False)
+
+
+def _read(folder: str, shards: list[tuple[int, int]]):
     def read(batches):
         for batch in batches:
-            for shard, base in zip(batch.column("shard").to_pylist(), batch.column("base").to_pylist()):
+            for shard, base in (shards[k] for k in batch.column("id").to_pylist()):
                 fs, path = filesystem(f"{folder}/{shard:05d}.arrows")
                 _, index = filesystem(f"{folder}/{shard:05d}.index.arrows")
                 with fs.open_input_stream(path) as a, fs.open_input_stream(index) as b:
@@ -242,5 +254,5 @@ def read_documents(spark, folder: str, manifest) -> DataFrame:
     for shard, _, n, _ in manifest:
         bases.append((shard, total))
         total += n
-    plan = spark.createDataFrame(bases, "shard int, base long").repartition(max(1, len(bases)), "shard")
-    return plan.mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    plan = spark.range(0, len(bases), 1, max(1, len(bases)))  # a shard a partition
+    return plan.mapInArrow(_read(folder, bases), "doc_id long, start long, n_tokens long, ids_crc32 long")
