@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session. Where it is unset (tests), a temporary folder becomes it."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset, a temporary folder becomes it, but only if all runs on this machine."""
     found, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if found:
         if context.getCheckpointDir() is None:  # set after the context was made
@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if (own := context.getCheckpointDir()) is not None:
         return own.rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = f"file://{tempfile.mkdtemp(prefix='tesserae-')}"
     context.setCheckpointDir(own)
     return own
@@ -34,6 +36,12 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+def remove(uri: str) -> None:
+    """Delete a folder of ``new_folder`` and all in it, once nothing reads it any more."""
+    fs, path = filesystem(uri)
+    fs.delete_dir(path)
+
+
 class Replacing:
     """A file that appears under its name only when it is whole, so that a repeated task attempt replaces it."""
 
