@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tesserae.llm.shared import checkpointed
 
 _SMALL = 20_000  # cells in one partition, or in a broadcast
+RESULTS = ["weight", "probability", "selected"]
 _SEGMENT = 4  # sweeps between checkpoints
 
 
@@ -51,7 +52,8 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float] | float], toleran
     count = cells.count()
     if count <= _SMALL:
         cells = cells.coalesce(1)
-    d = cells.withColumn("weight", F.col("tokens") / F.greatest(F.sum("tokens").over(Window.partitionBy(F.lit(0))), F.lit(1)))
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    d = cells.withColumn("weight", F.col("tokens") / F.lit(float(max(total, 1))))
     for dim, want in targets.items():
         share = _targets(cells, dim, want).withColumnRenamed("v", f"v_{dim}").withColumnRenamed("share", f"share_{dim}")
         d = d.join(F.broadcast(share) if count <= _SMALL else share, F.col(dim).eqNullSafe(F.col(f"v_{dim}")), "left").drop(f"v_{dim}")
@@ -78,20 +80,22 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float] | float], tokens: s
 
     Probabilities are in proportion to weight over tokens. Without ``target_tokens`` the cell most in want is kept whole; with it
     they give so many expected tokens, cut at 1. A null value is a value of its own. Documents without tokens have probability 0.
-    Repeated rows are drawn alike. An empty table gives an empty result.
+    Repeated rows are drawn alike. An empty table gives an empty result. An input column of one of those names comes back as ``doc_`` and its name.
     """
     dims = list(targets)
-    cells = rake(docs.groupBy(*dims).agg(F.sum(tokens).alias("tokens")), targets)
+    doc = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    cells = rake(docs.groupBy(*(F.col(f"`{x}`") for x in dims)).agg(F.sum(F.col(f"`{tokens}`")).alias("tokens")), targets)
     ratio = cells.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
     most = ratio.agg(F.max("ratio")).first()[0] or 1.0
     scale = target_tokens if target_tokens is not None else 1.0 / most
-    ratio = checkpointed(ratio.select(*(F.col(x).alias(f"c_{x}") for x in dims), "weight", F.least(F.lit(1.0), F.col("ratio") * scale).alias("probability")))
+    ratio = checkpointed(ratio.select(F.struct(*dims).alias("cell"), "weight", F.least(F.lit(1.0), F.col("ratio") * scale).alias("probability")))
     on = F.lit(True)
     for x in dims:
-        on &= F.col(x).eqNullSafe(F.col(f"c_{x}"))
-    joined = docs.join(F.broadcast(ratio) if ratio.count() <= _SMALL else ratio, on, "left").drop(*(f"c_{x}" for x in dims))
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 11) / F.lit(float(1 << 53))
-    return joined.withColumn("selected", (u < F.col("probability")) & (F.col("probability") > 0))
+        on &= F.col(f"doc.`{x}`").eqNullSafe(F.col(f"cell.`{x}`"))
+    joined = doc.join(F.broadcast(ratio) if ratio.count() <= _SMALL else ratio, on, "left")
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(f"doc.`{id_col}`"), F.col(f"doc.`{text_col}`")), 11) / F.lit(float(1 << 53))
+    kept = [F.col(f"doc.`{c}`").alias(f"doc_{c}" if c in RESULTS else c) for c in docs.columns]
+    return joined.select(*kept, "weight", "probability", ((u < F.col("probability")) & (F.col("probability") > 0)).alias("selected"))
 
 
 #: Production targets: sources by the square root of their tokens, languages as given, all lengths as they are but for long ones.

@@ -74,3 +74,13 @@ def test_no_python_on_executors(spark):
 
     docs = cases.documents(spark)
     assert not re.search("Python|Pandas|Arrow", mix(dimensions(docs, ["doc_id"]), TARGETS)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_input_columns_named_like_results(spark):
+    docs = dimensions(cases.documents(spark), ["doc_id"]).withColumns({c: F.lit("clash") for c in ("weight", "probability", "selected", "cell", "doc", "ratio", "c_source", "v_lang", "share_lang")})
+    got = mix(docs, TARGETS)
+    assert {"doc_weight", "doc_probability", "doc_selected", "weight", "probability", "selected", "cell", "c_source"} <= set(got.columns)
+    rows = got.collect()
+    assert len(rows) == docs.count() and {(r.doc_weight, r.cell) for r in rows} == {("clash", "clash")}
+    plain = mix(dimensions(cases.documents(spark), ["doc_id"]), TARGETS).collect()
+    assert sorted((r.doc_id, r.probability, r.selected) for r in rows) == sorted((r.doc_id, r.probability, r.selected) for r in plain)
