@@ -5,7 +5,7 @@ positions there is an offset below the period that brings both to anchors, so tw
 an aligned anchor of ``window - period + 1`` words. Only 4 of 13 anchors are hashed and exchanged; an anchor that occurs once
 in the corpus is dropped, and only windows over shared anchors are extended to their full width and compared.
 
-Texts are dealt to chunks by a hash of their id. A chunk asks about each different anchor (or window) once, in one block
+Texts are dealt to chunks by a hash of id and text. A chunk asks about each different anchor (or window) once, in one block
 per bucket, so a passage that a third of all documents share is one entry a chunk. Buckets answer a bit per
 entry. No pairs are made, and nothing is gathered beyond a chunk or a bucket, both of bounded bytes.
 """
@@ -26,6 +26,7 @@ COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31:
 
 _LOCATED = np.dtype([("lo", "<u8"), ("hi", "<u4"), ("id", "<i8"), ("start", "<i4")])
 _NULL_ID = -(2**63)
+_CHUNKS_A_TASK = 16
 
 
 def _anchors(w: Words, window: int, period: int) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +203,7 @@ def _finish(window: int, period: int, buckets: int):
     return finish
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, period: int = 13, chunk_mb: int = 8) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, period: int = 13, chunk_mb: float = 8, bucket_mb: float = 16) -> DataFrame:
     """Remove every word under a window of ``window`` words whose words also start earlier in the corpus.
 
     Earlier: in a text of smaller id, or in the same text. Windows are judged on the input. Returns a row per input row: ``id``,
@@ -210,19 +211,22 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A null text has no words. A null id sorts before all others. Rows that repeat an id count as one document: a window
     at the same place in each is one place, so exact repeats of a row don't remove each other. Texts of fewer words than a
-    window lose nothing. An empty table gives an empty result. Other columns are not read, whatever their names.
+    window lose nothing. ``chunk_mb`` and ``bucket_mb`` are text per chunk and per bucket, what a Python worker holds at a time. An empty table gives an empty result. Other columns are not read, whatever their names.
     """
     if period not in COVERS or period > window:
         raise ValueError(f"period: one of {sorted(COVERS)}, and not over the window")
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, math.ceil(size / (chunk_mb << 20)))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks))).repartition(chunks, "chunk")
-    shared = dealt.groupBy("chunk").applyInArrow(_ask_anchors(window, period, chunks), _ASK_SQL).groupBy("bucket").applyInArrow(_share_anchors, _ANSWER_SQL)
-    asked = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_ask_windows(window, period, chunks), _ASK_SQL)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = max(1, math.ceil(size / (chunk_mb * 2**20)))
+    buckets = min(chunks, max(tasks, math.ceil(size / (bucket_mb * 2**20))))
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks))).repartition(max(min(chunks, tasks), math.ceil(chunks / _CHUNKS_A_TASK)), "chunk")
+    shared = dealt.groupBy("chunk").applyInArrow(_ask_anchors(window, period, buckets), _ASK_SQL).groupBy("bucket").applyInArrow(_share_anchors, _ANSWER_SQL)
+    asked = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_ask_windows(window, period, buckets), _ASK_SQL)
     later = asked.groupBy("bucket").applyInArrow(_first_windows, _ANSWER_SQL)
     return (
         dealt.groupBy("chunk")
         .cogroup(shared.unionByName(later).groupBy("chunk"))
-        .applyInArrow(_finish(window, period, chunks), "id long, kept_text string, n_words long, n_removed long, removed array<struct<start:int,end:int>>")
+        .applyInArrow(_finish(window, period, buckets), "id long, kept_text string, n_words long, n_removed long, removed array<struct<start:int,end:int>>")
     )

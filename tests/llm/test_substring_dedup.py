@@ -58,3 +58,20 @@ def test_hashes_depend_on_content_alone():
     assert a.hashes()[1:3].tolist() == a.hashes()[3:].tolist()
     assert a.windows(2)[1] == a.windows(2)[3] == b.windows(2)[1]
     assert len(np.unique(mix(np.arange(1000, dtype=np.uint64)))) == 1000
+
+
+def test_rows_without_an_id_are_dealt_by_text(spark):
+    texts = [cases.words(60, k) + " " + cases.words(30, k % 5) for k in range(60)]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    got = dedup_substrings(docs, chunk_mb=0.002, bucket_mb=0.004)
+    assert got.rdd.mapPartitions(lambda r: [sum(1 for _ in r)]).filter(lambda n: n).count() > 3
+    mine = sorted((r.n_words, r.n_removed, r.kept_text) for r in got.collect())
+    one = sorted((r.n_words, r.n_removed, r.kept_text) for r in dedup_substrings(docs).collect())
+    assert mine == one
+
+
+def test_few_buckets_and_many_chunks_agree(spark):
+    rows = [(k, cases.words(200, k % 40) + " " + cases.words(30, k % 7)) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: (r.n_words, r.n_removed, r.kept_text) for r in dedup_substrings(docs, chunk_mb=0.002, bucket_mb=0.05).collect()}
+    assert got == brute(rows, 20)
