@@ -3,7 +3,7 @@
 Each task writes the records of its partition, one gzip member each, to one archive. Equal payloads of some size are written once: the
 page of the largest id is the response, the others revisit it. Readers parse the archives and write locally sorted runs of
 captures (CDXJ lines by URL key, timestamp and page), cut at common key boundaries. A merge task opens the slices of its key range
-in all runs and merges them by a loser tree, holding one block a run: ranges in order are the globally ordered capture histories.
+in all runs and merges them by a loser tree, holding one block a run, in passes if the runs are many: ranges in order are the globally ordered capture histories.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _EPOCH = datetime(2024, 1, 1)
 _BLOCK = 1 << 16
 _RUN = 200_000  # captures in a run at most
+_RANGE = 20_000_000  # captures in a range, about
 _NULL = 1 << 64
 
 
@@ -176,8 +177,10 @@ def _run_key(url: str | None, page: int | None) -> str:
 
 
 def boundaries(pages: DataFrame, ranges: int, sample_rows: int = 20_000) -> list[str]:
-    """Keys that cut captures into ranges, from a bounded sample; they set the balance of the merge, not its result."""
+    """Keys that cut captures into ``ranges``, more if they would hold over ``_RANGE`` captures, from a bounded sample; they set the balance of the merge, not its result."""
     n = pages.count()
+    ranges = max(ranges, n // _RANGE)
+    sample_rows = max(sample_rows, 10 * ranges)
     if not n or ranges < 2:
         return []
     some = pages.select("page_id", "url").where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 20)) < math.ceil(sample_rows / n * (1 << 20))).limit(2 * sample_rows).collect()
@@ -188,7 +191,7 @@ def boundaries(pages: DataFrame, ranges: int, sample_rows: int = 20_000) -> list
 _SLICE = "run string, range int, start long, end long"
 
 
-def _write_runs(folder: str, cuts: list[str]):
+def _write_runs(folder: str, archives: list[str], cuts: list[str]):
     def lines(name: str):
         fs, path = filesystem(f"{folder}/{name}")
         with fs.open_input_stream(path, compression=None) as f:
@@ -216,7 +219,7 @@ def _write_runs(folder: str, cuts: list[str]):
 
     def write(batches):
         for batch in batches:
-            for name in batch.column("name").to_pylist():
+            for name in (archives[k] for k in batch.column("id").to_pylist()):
                 held, slices, k = [], [], 0
                 for x in lines(name):
                     held.append(x)
@@ -251,16 +254,34 @@ _MERGED_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), p
 _NAMES = [x.split()[0] for x in _MERGED.split(", ")]
 
 
-def _merge(folder: str):
+def _merged_lines(folder: str, slices: list[tuple[str, int, int]]):
+    return LoserTree([_slice_lines(folder, *x) for x in slices])
+
+
+def narrowed(folder: str, name: str, slices: list[tuple[str, int, int]], fan_in: int) -> list[tuple[str, int, int]]:
+    """The same sorted lines in at most ``fan_in`` slices: passes that merge ``fan_in`` slices each into a file of the folder."""
+    level = 0
+    while len(slices) > fan_in:
+        wider = []
+        for at in range(0, len(slices), fan_in):
+            run, size = f"{name}.{level}.{at // fan_in:05d}.cdxj", 0
+            with Replacing(f"{folder}/{run}") as out:
+                for key, rest in _merged_lines(folder, slices[at : at + fan_in]):
+                    size += out.write(key + b" " + rest + b"\n")
+            wider.append((run, 0, size))
+        slices, level = wider, level + 1
+    return slices
+
+
+def _merge(folder: str, fan_in: int):
     def merge(batches):
         slices: dict[int, list] = {}
         for b in batches:
             for r in b.to_pylist():
-                slices.setdefault(r["range"], []).append(r)
+                slices.setdefault(r["range"], []).append((r["run"], r["start"], r["end"]))
         for k in sorted(slices):
-            runs = [_slice_lines(folder, r["run"], r["start"], r["end"]) for r in sorted(slices[k], key=lambda r: r["run"])]
             rows = []
-            for n, (key, rest) in enumerate(LoserTree(runs)):
+            for n, (key, rest) in enumerate(_merged_lines(folder, narrowed(folder, f"merge-{k:05d}", sorted(slices[k]), fan_in))):
                 x = json.loads(rest)
                 name, stamp, _ = key.decode().split(" ")
                 rows.append((k, n, x["page_id"], name, stamp, x["type"], x["bytes"], x["digest"], x["refers_to"], x["archive"], x["offset"], x["length"]))
@@ -273,11 +294,14 @@ def _merge(folder: str):
     return merge
 
 
-def capture_histories(spark, folder: str, archives: list[str], cuts: list[str]) -> DataFrame:
-    """All captures of the archives, from the archives: by (range, position) in the order of URL key, timestamp and page."""
-    plan = spark.createDataFrame([(x,) for x in archives], "name string").repartition(max(1, len(archives)), "name")
-    slices = checkpointed(plan.mapInArrow(_write_runs(folder, cuts), _SLICE))
-    return slices.repartition(len(cuts) + 1, "range").mapInArrow(_merge(folder), _MERGED)
+def capture_histories(spark, folder: str, archives: list[str], cuts: list[str], fan_in: int = 256) -> DataFrame:
+    """All captures of the archives, from the archives: by (range, position) in the order of URL key, timestamp and page.
+
+    A task holds one block of at most ``fan_in`` runs; of more runs, merged ones are written first.
+    """
+    plan = spark.range(0, len(archives), 1, max(1, len(archives)))  # an archive a partition
+    slices = checkpointed(plan.mapInArrow(_write_runs(folder, archives, cuts), _SLICE))
+    return slices.repartitionByRange(len(cuts) + 1, "range").mapInArrow(_merge(folder, fan_in), _MERGED)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, ranges: int | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 1000) -> DataFrame:

@@ -3,7 +3,7 @@ import hashlib
 import io
 import random
 
-from tesserae.llm.warc import LoserTree, archive_pages, page_of, parsed, record, record_id, records, url_key
+from tesserae.llm.warc import LoserTree, _slice_lines, archive_pages, boundaries, capture_histories, narrowed, page_of, parsed, record, record_id, records, resolved, url_key, write_archives
 
 
 def expected(rows, least=1000):
@@ -66,3 +66,28 @@ def test_loser_tree_merges():
     for k in range(9):
         runs = [sorted((r.randrange(50), j) for j in range(r.randrange(30))) for _ in range(k)]
         assert [x[0] for x in LoserTree([iter(x) for x in runs])] == sorted(x[0] for y in runs for x in y)
+
+
+def test_merging_in_passes(spark, tmp_path):
+    df = spark.createDataFrame(rows(), "page_id long, url string, html string").repartition(9)
+    found = resolved(df).repartition(9)
+    cuts = boundaries(df, 3)
+    folder = f"file://{tmp_path}/w"
+    names = write_archives(found, folder)
+    assert len(names) == 9
+    in_one, in_passes = (sorted(map(tuple, capture_histories(spark, folder, names, cuts, fan_in=n).collect()), key=str) for n in (256, 2))
+    assert in_one == in_passes and list(tmp_path.glob("w/merge-*.2.*"))
+
+
+def test_narrowed(tmp_path):
+    r, slices, lines = random.Random(2), [], []
+    for k in range(23):
+        own = sorted(f"k{r.randrange(40):03d} {k:03d}{j:03d}" for j in range(r.randrange(9)))
+        data = "".join(f"{x} {{}}\n" for x in own).encode()
+        (tmp_path / f"r{k}").write_bytes(b"junk\n" + data)
+        slices.append((f"r{k}", 5, 5 + len(data)))
+        lines += own
+    few = narrowed(f"file://{tmp_path}", "m", slices, 3)
+    assert len(few) <= 3
+    got = [key.decode() for key, _ in LoserTree([_slice_lines(f"file://{tmp_path}", *x) for x in few])]
+    assert got == sorted(lines)
