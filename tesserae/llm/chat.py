@@ -22,6 +22,7 @@ START, MESSAGE, END, ESCAPE = "<|start|>", "<|message|>", "<|end|>", "␛"
 _CONTROL = r"\||/?s>|/?INST\]|</?SYS>>|(?:pad|unk|bos|eos|mask)>|(?:start|end)_of_turn>"
 #: Spark's JSON reader takes no string value of more characters, and gives null for a record that holds one.
 _LONGEST = 20_000_000
+_LONG_TURN, _PIECE = 4_000_000, 1_000_000  # characters of a turn that is written in pieces, and of a piece
 _TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -48,8 +49,10 @@ def _list(field: str, role: str, text: str, roles: str = "x.{role}") -> str:
 
 _SHARED = "CASE x.{role} WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE x.{role} END"
 _WITH_INPUT = "concat_ws('\n\n', {0}, nullif({1}, ''))".format(_field("instruction"), _field("input"))
+_PARTS = "transform(from_json(r, 'messages array<struct<role:string,content:array<struct<type:string,text:string>>>>').messages, x -> named_struct('role', coalesce(x.role, ''), 'text', coalesce(array_join(transform(filter(x.content, p -> p.type = 'text'), p -> p.text), ''), '')))"
 LAYOUTS = (
     Layout("messages", {"messages": [{"role": "", "content": ""}]}, _list("messages", "role", "content")),
+    Layout("messages of parts", {"messages": [{"role": "", "content": [{"type": "", "text": ""}]}]}, _PARTS),
     Layout("no messages", {"messages": []}, f"cast(array() as {_TURNS})"),
     Layout("conversations", {"conversations": [{"from": "", "value": ""}]}, _list("conversations", "from", "value", _SHARED)),
     Layout("prompt, completion", {"prompt": "", "completion": ""}, _pair(_field("prompt"), _field("completion"))),
@@ -74,7 +77,7 @@ def fingerprint(record: Column) -> Column:
 def canonical(records: DataFrame, id_col: str, record_col: str, layouts=LAYOUTS) -> DataFrame:
     """``id``, ``layout`` and ``turns`` of each JSON record. A record of no declared layout, or that is no JSON, has null for both.
 
-    Missing or null values are empty texts. Rows that repeat are each mapped. Other columns are not read, whatever their names.
+    Missing or null values are empty texts; of content in parts the texts are joined. Rows that repeat are each mapped. Other columns are not read, whatever their names.
     A record of over 20 million characters that the JSON reader doesn't take is an error, as it can be JSON with a longer string.
     """
     d = records.select(F.col(id_col).alias("id"), F.col(record_col).alias("r"))
@@ -116,7 +119,10 @@ def format_turns(chats: DataFrame, trained: str = "assistant") -> DataFrame:
 
 
 def read_turns(formatted: DataFrame) -> DataFrame:
-    """Adds ``read`` (turns, unescaped) and ``loss_text`` (all text under the loss spans, unescaped) from ``formatted`` and ``loss`` alone."""
+    """Adds ``read`` (turns, unescaped) and ``loss_text`` (all text under the loss spans, unescaped) from ``formatted`` and ``loss`` alone.
+
+    An empty text has no turns; a null one has null for both. Repeated rows are each read; an empty table gives an empty result.
+    """
     d = formatted.withColumn("parts", F.slice(F.split("formatted", START.replace("|", r"\|")), 2, 1 << 30))
     shape = rf"(?s)^(.*?){MESSAGE}(.*){END}$".replace("|", r"\|")
     turns = F.transform("parts", lambda p: F.struct(unescaped(F.regexp_extract(p, shape, 1)).alias("role"), unescaped(F.regexp_extract(p, shape, 2)).alias("text")))
@@ -124,8 +130,53 @@ def read_turns(formatted: DataFrame) -> DataFrame:
     return d.withColumns({"read": turns, "masked": masked}).withColumn("loss_text", unescaped(F.array_join("masked", ""))).drop("parts", "masked")
 
 
-def records_of(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """``id`` and a messages ``record`` of each conversation of turn rows, ordered by turn, ties by role and text; null turns first, null roles and texts empty."""
+def _written(name: str) -> tuple[Column, Column]:
+    """Of conversations ``m`` (turn, role, content): which of them a layout can hold without loss, and their record in it."""
+    roles = F.transform("m", lambda x: x["role"])
+    content = [F.get("m", F.lit(k))["content"] for k in range(3)]
+
+    def of(*wanted: str) -> Column:
+        return roles == F.array(*(F.lit(x) for x in wanted))
+
+    def fields(**values: Column) -> Column:
+        return F.struct(*(v.alias(k) for k, v in values.items()))
+
+    plain = F.forall(roles, lambda x: x.isin("user", "assistant", "system"))
+    shared = F.transform("m", lambda x: F.struct(F.when(x["role"] == "user", "human").when(x["role"] == "assistant", "gpt").otherwise(x["role"]).alias("from"), x["content"].alias("value")))
+    cut = F.instr(content[0], "\n\n")  # an instruction and an input that come together again with that between them
+    before, after = F.substring(content[0], F.lit(1), cut - 1), F.substring(content[0], cut + 2, F.length(content[0]))
+    pieces = lambda x: F.transform(F.sequence(F.lit(0), F.floor(F.length(x) / _PIECE).cast("int")), lambda k: fields(type=F.lit("text"), text=F.substring(x, k * _PIECE + 1, F.lit(_PIECE))))
+    return {
+        "messages": (F.lit(True), fields(messages=F.transform("m", lambda x: fields(role=x["role"], content=x["content"])))),
+        "messages of parts": (F.size("m") > 0, fields(messages=F.transform("m", lambda x: fields(role=x["role"], content=pieces(x["content"]))))),
+        "conversations": (plain & (F.size("m") > 0), fields(conversations=shared)),
+        "prompt, completion": (of("user", "assistant"), fields(prompt=content[0], completion=content[1])),
+        "prompt, response": (of("user", "assistant"), fields(prompt=content[0], response=content[1])),
+        "question, answer": (of("user", "assistant"), fields(question=content[0], answer=content[1])),
+        "instruction, output": (of("user", "assistant"), fields(instruction=content[0], output=content[1])),
+        "instruction, input, output": (of("user", "assistant") & (cut > 1) & (F.length(after) > 0), fields(instruction=before, input=after, output=content[1])),
+        "system, instruction, output": (of("system", "user", "assistant"), fields(system=content[0], instruction=content[1], output=content[2])),
+    }[name]
+
+
+#: Layouts that conversations can be written in, all but "no messages".
+ALL = tuple(x.name for x in LAYOUTS if x.name != "no messages")
+
+
+def records_of(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", layouts: tuple[str, ...] = ("messages",)) -> DataFrame:
+    """``id`` and a JSON ``record`` of each conversation of turn rows, ordered by turn, ties by role and text; null turns first, null roles and texts empty.
+
+    Of the ``layouts`` that can hold a conversation without loss a hash of its id and texts takes one; "messages" can hold all. A conversation with a turn
+    of over 4 million characters is written in parts, as Spark's JSON reader bounds a string. Rows that repeat are each a turn; a null id is a
+    conversation like another; an empty table gives an empty result; other columns are not read. A conversation is one row, held whole by a task several times
+    over: one of 128 MB or more (Spark's bound of a variant) stops with an error in ``canonical``.
+    """
     d = rows.select(F.col(id_col).alias("id"), F.struct(F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("content")).alias("m"))
     d = d.groupBy("id").agg(F.sort_array(F.collect_list("m")).alias("m"))
-    return d.select("id", F.to_json(F.struct(F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))).alias("record"))
+    fit = F.filter(F.array(*(F.when(_written(x)[0], F.lit(x)) for x in layouts)), lambda x: x.isNotNull())
+    fit = F.when(F.exists("m", lambda x: F.length(x["content"]) > _LONG_TURN), F.array(F.lit("messages of parts"))).when(F.size(fit) > 0, fit).otherwise(F.array(F.lit("messages")))
+    d = d.select("id", "m", fit.alias("fit")).select("id", "m", F.get("fit", F.pmod(F.xxhash64("id", F.size("m")), F.size("fit")).cast("int")).alias("layout"))
+    record = F.when(F.col("layout") == "messages", F.to_json(_written("messages")[1]))
+    for x in dict.fromkeys((*layouts, "messages of parts")):
+        record = record.when(F.col("layout") == x, F.to_json(_written(x)[1]))
+    return d.select("id", record.alias("record"))

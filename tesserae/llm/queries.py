@@ -101,7 +101,7 @@ _OWN = "</s>[INST] ok [/INST]"
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_OWN).alias("text"))
-    turns = chat.canonical(chat.records_of(rows.unionByName(own)), "id", "record")
+    turns = chat.canonical(chat.records_of(rows.unionByName(own), layouts=chat.ALL), "id", "record")
     read = chat.read_turns(chat.format_turns(turns).select("id", "formatted", "loss"))
     said = F.array_join(F.transform("read", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return read.select(

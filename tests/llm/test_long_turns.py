@@ -1,22 +1,22 @@
-"""Turns beyond the bound of Spark's JSON reader: an error, never a null."""
+"""Turns beyond the bound of Spark's JSON reader: written in parts, or an error, never a null."""
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tesserae.llm.chat import canonical, records_of
+from tesserae.llm.chat import canonical, format_turns, read_turns, records_of
 
 
-def _records(spark, n):
-    rows = spark.createDataFrame([(1, 0, "user")], "conv_id long, turn long, role string")
-    return records_of(rows.withColumn("text", F.repeat(F.lit("a"), n)))
+def test_a_long_turn_is_written_in_parts_and_read_back(spark):
+    rows = spark.createDataFrame([(1, 0, "user"), (1, 1, "assistant")], "conv_id long, turn long, role string")
+    rows = rows.withColumn("text", F.when(F.col("turn") == 0, F.repeat(F.lit("añ"), 10_500_000)).otherwise("ok"))
+    got = read_turns(format_turns(canonical(records_of(rows), "id", "record")))
+    r = got.select("layout", F.size("read").alias("n"), F.length(F.col("read")[0]["text"]).alias("chars"), F.sha2(F.col("read")[0]["text"], 256).alias("sha"), "loss_text").first()
+    expected = spark.range(1).select(F.sha2(F.repeat(F.lit("añ"), 10_500_000), 256)).first()[0]
+    assert (r.layout, r.n, r.chars, r.sha, r.loss_text) == ("messages of parts", 2, 21_000_000, expected, "ok")
 
 
-def test_a_turn_beyond_the_bound_is_an_error(spark):
-    with pytest.raises(PySparkException, match="20,000,000 characters, in the record of id 1"):
-        canonical(_records(spark, 21_000_000), "id", "record").select("id", "layout").collect()
-
-
-def test_a_turn_under_the_bound_is_read(spark):
-    r = canonical(_records(spark, 17_000_000), "id", "record").select("layout", F.length(F.col("turns")[0]["text"]).alias("n")).first()
-    assert (r.layout, r.n) == ("messages", 17_000_000)
+def test_a_record_that_the_reader_refuses_is_an_error(spark):
+    long = spark.range(1).select("id", F.concat(F.lit('{"prompt": "'), F.repeat(F.lit("a"), 21_000_000), F.lit('", "completion": ""}')).alias("record"))
+    with pytest.raises(PySparkException, match="20,000,000 characters, in the record of id 0"):
+        canonical(long, "id", "record").select("id", "layout").collect()
