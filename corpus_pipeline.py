@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import decontaminate, mixing, quality_rules, simhash, token_output
-from tesserae.llm.shared import new_folder
+from tesserae.llm.shared import new_folder, remove
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Milder than op6's: a corpus that was filtered already keeps most of its documents.
@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group."""
+    """The first row of each group: that of the smallest id."""
     return simhash.keep_first(docs)
 
 
@@ -41,7 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of all that is left; a row per document, read back from them."""
-    return token_output.read_documents(spark, *token_output.write_tokens(docs, TOKENIZER, added=True))
+    return token_output.read_documents(spark, *token_output.write_tokens(docs, TOKENIZER))
 
 
 STAGES = [
@@ -64,5 +64,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k > 1:
+                remove(f"{folder}/{k - 1}")  # its reader has been written
         docs = stage(spark, docs, sf_dir)
+    remove(f"{folder}/{len(STAGES) - 1}")  # the last stage has written its files, and reads no others
     return docs
