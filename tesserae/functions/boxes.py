@@ -155,3 +155,17 @@ def convex_overlap(p: Column, q: Column) -> Column:
     left = F.aggregate(sides, p, cut)
     flat = F.flatten(F.transform(left, lambda v: F.array(v["x"], v["y"])))
     return once(flat, lambda f: F.when(F.size(f) >= 6, shoelace(f)).otherwise(0.0))
+
+
+def zoomed(x: Column, y: Column, w: Column, h: Column, width: float, height: float, area: Column, share: float) -> tuple[Column, Column, Column, Column]:
+    """x, y, w, h of a crop around a box: a fifth wider and higher, 16 at least; larger yet, by the root of the excess, if the mask would fill over ``share`` of it. Shifted into the image."""
+    grown = lambda n, most: F.least(n + F.greatest(0.2 * n, F.lit(16.0)), F.lit(float(most)))
+    gw, gh = grown(w, width), grown(h, height)
+    excess = F.greatest(F.lit(1.0), F.sqrt(area / (gw * gh) / F.lit(share)))
+    nw, nh = F.least(gw * excess, F.lit(float(width))), F.least(gh * excess, F.lit(float(height)))
+
+    def start(at, size, new, most):
+        shift = (new - size) / 2
+        return at - F.least(at.cast("double"), F.when(at - shift + new > most, at + new - most).otherwise(shift))
+
+    return start(x, w, nw, width), start(y, h, nh, height), nw, nh

@@ -14,24 +14,35 @@ def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_rn", rn).where("_rn = 1").drop("_rn")
 
 
-def hamming_pairs(df: DataFrame, id_col: str, hash_col: str, most: int) -> DataFrame:
-    """Pairs a < b whose hashes differ in ``most`` bits at most: (a, b, distance).
+def hamming_pairs(df: DataFrame, id_col: str, hash_col: str, most: int, bits: int = 64) -> DataFrame:
+    """Pairs a < b whose hashes differ in ``most`` bits at most: (a, b, distance). The output is all pairs, copies included; see ``hamming_links`` for links alone."""
+    d = df.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"))
+    links = hamming_links(df, hash_col, most, bits)
+    apart = links.join(d.select(F.col("id").alias("x"), F.col("h").alias("ha")), "ha").join(d.select(F.col("id").alias("y"), F.col("h").alias("hb")), "hb")
+    near = apart.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance").where("a < b")
+    x, y = (d.select(F.col("h"), F.col("id").alias(c)) for c in "ab")
+    copies = x.join(y, "h").where("a < b").select("a", "b", F.lit(0).cast("long").alias("distance"))
+    return near.unionByName(copies)
+
 
-    The 64 bits are cut into most + 1 bands; a pair agrees in one of them, so an equi-join by band finds all of it. A pair is
+def hamming_links(df: DataFrame, hash_col: str, most: int, bits: int = 64) -> DataFrame:
+    """Pairs of different hashes, ha < hb, that differ in ``most`` bits at most: (ha, hb, distance). Copies of a hash don't meet.
+
+    The ``bits`` that hashes use are cut into most + 1 bands; a pair agrees in one of them, so an equi-join by band finds all of it. A pair is
     taken in the first band in which it agrees, so nothing has to be made unique afterwards.
     """
     n = most + 1
-    edges = [64 * k // n for k in range(n + 1)]
-    d = df.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"))
+    edges = [bits * k // n for k in range(n + 1)]
+    d = df.select(F.col(hash_col).alias("h")).distinct()
     band = lambda h, k: F.shiftrightunsigned(h, edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1))
-    banded = d.select("id", "h", F.posexplode(F.array(*(band(F.col("h"), k) for k in range(n)))).alias("k", "v"))
-    a, b = (banded.select(F.col("k"), F.col("v"), F.col("id").alias(x), F.col("h").alias(f"h{x}")) for x in ("a", "b"))
-    pairs = a.join(b, ["k", "v"]).where("a < b")
+    banded = d.select("h", F.posexplode(F.array(*(band(F.col("h"), k) for k in range(n)))).alias("k", "v"))
+    a, b = (banded.select("k", "v", F.col("h").alias(x)) for x in ("ha", "hb"))
     apart = F.col("ha").bitwiseXOR(F.col("hb"))
     earlier = F.lit(False)
     for k in range(n):
         earlier |= (F.col("k") > k) & (band(apart, k) == 0)
-    return pairs.where(~earlier).select("a", "b", F.bit_count(apart).cast("long").alias("distance")).where(F.col("distance") <= most)
+    pairs = a.join(b, ["k", "v"]).where("ha < hb").where(F.bit_count(apart) <= most)
+    return pairs.where(~earlier).select("ha", "hb", F.bit_count(apart).cast("long").alias("distance"))
 
 
 def greedy_kept(pairs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -51,17 +62,19 @@ def greedy_kept(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     return ids
 
 
-def near_kept(df: DataFrame, id_col: str, hash_col: str, most: int) -> DataFrame:
+def near_kept(df: DataFrame, id_col: str, hash_col: str, most: int, bits: int = 64) -> DataFrame:
     """Of rows (id, hash) those that stay when each that differs in ``most`` bits at most from an earlier one that stays is dropped: (id).
 
     Of equal hashes only the first id can stay, so copies never form pairs.
     """
     first = df.groupBy(F.col(hash_col).alias("h")).agg(F.min(id_col).alias("id"))
-    return greedy_kept(hamming_pairs(first, "id", "h", most), first.select("id"))
+    side = lambda x: first.select(F.col("h").alias(f"h{x}"), F.col("id").alias(f"i{x}"))
+    links = hamming_links(first, "h", most, bits).join(side("a"), "ha").join(side("b"), "hb")
+    return greedy_kept(links.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")), first.select("id"))
 
 
 def bit_votes(text_words: DataFrame, id_col: str, word_col: str, bits: int = 60) -> DataFrame:
-    """A hash of each id of which bit k is 1 if more of its words' md5 hashes have it than not: (id, hash). One aggregate of ``bits`` sums."""
+    """A hash of each id of which bit k is 1 if more of its words' md5 hashes have it than not: (id, hash). An id whose word is null has hash 0. One aggregate of ``bits`` sums."""
     hashed = text_words.select(id_col, F.conv(F.substring(F.md5(F.col(word_col).cast("binary")), 1, bits // 4), 16, 10).cast("long").alias("h"))
     votes = [F.sum(F.shiftright("h", k).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"v{k}") for k in range(bits)]
     total = F.lit(0).cast("long")

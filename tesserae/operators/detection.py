@@ -81,6 +81,41 @@ def interpolated_precision(hits: DataFrame, positives: DataFrame, by: list[str])
     return positives.join(ap, by, "left").select(*by, "npos", undefined("ap"), undefined("ar"))
 
 
+def voc_precision(hits: DataFrame, positives: DataFrame, by: list[str], bins: int = 1000) -> DataFrame:
+    """Per row of ``positives`` (by..., npos): ``ap``, the area under the envelope of precision over recall, and ``ap11``, the mean over recalls 0, 0.1, ..., 1 of
+    the best precision at that recall or a higher one. Both are 0 where nothing hits.
+
+    Recall only grows at hits, so these alone are ordered, and by score bin: the best precision of later bins comes from one row a bin.
+    """
+    c = settled(running_hits(hits.where("counts").drop("counts"), by, bins).where("hit").join(positives.where("npos > 0"), by).select(*by, "k", "tp", "npos", (-F.floor(F.col("score") * bins)).alias("bin")))
+    p = F.col("tp") / F.col("k")
+    tops = c.groupBy(*by, "bin").agg(F.max(p).alias("top"))
+    later = F.max("top").over(Window.partitionBy(*by).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1))
+    own = F.max(p).over(Window.partitionBy(*by, "bin").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0))
+    d = c.withColumn("own", own).join(tops.select(*by, "bin", F.coalesce(later, F.lit(0.0)).alias("later")), [*by, "bin"])
+    eleven = [F.max(F.when(F.col("tp") / F.col("npos") >= k * 0.1, p).otherwise(0.0)) for k in range(11)]
+    ap = d.groupBy(*by).agg((F.sum(F.greatest("own", "later")) / F.first("npos")).alias("ap"), (sum(eleven[1:], eleven[0]) / 11).alias("ap11"))
+    return positives.join(ap, by, "left").na.fill(0.0, ["ap", "ap11"])
+
+
+def counted_f1(pairs: DataFrame, matches: DataFrame, steps: list[float]) -> DataFrame:
+    """Adds arrays ``tps``, ``fps``, ``fns``, one value a step, to ``pairs`` (key, gt, dt: numbers of objects) from optimal ``matches`` (key, weight)."""
+    reached = matches.groupBy("key").agg(F.array(*(F.count_if(F.col("weight") >= t) for t in steps)).alias("tps"))
+    d = pairs.join(reached, "key", "left").withColumn("tps", F.coalesce("tps", F.array_repeat(F.lit(0).cast("long"), len(steps))))
+    return d.withColumns({"fps": F.transform("tps", lambda t: F.col("dt") - t), "fns": F.transform("tps", lambda t: F.col("gt") - t)})
+
+
+def best_truth(scores: DataFrame) -> DataFrame:
+    """Of several ground truths of an image the one that its predictions meet best: (image, truth, place, f1) to (image, truth).
+
+    The highest F1 wins, the first place of equal ones. No F1 means that predictions and ground truth are both empty, which is perfect: of these the last place wins.
+    """
+    perfect = F.max_by("truth", F.when(F.col("f1").isNull(), F.col("place")))
+    best = F.max_by("truth", F.struct(F.col("f1"), -F.col("place")))
+    empty = F.count_if(F.col("f1").isNull()) > 0
+    return scores.groupBy("image").agg(F.when(empty, perfect).otherwise(best).alias("truth"))
+
+
 def image_level_f1(images: DataFrame, matches: DataFrame, steps: list[float]) -> DataFrame:
     """Per threshold: micro counts and F1, F1 over images that have ground truth (micro, macro), image-level recall, precision, F1, false-positive rate, Matthews
     correlation, and their product with the positive F1.

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder of ``spark.checkpoint.dir``; lineage ends there. Where it is unset a temporary folder takes its place."""
+    """The rows, written to the folder of ``spark.checkpoint.dir``; lineage ends there. Where it is unset a temporary folder takes its place, but only if all runs on this machine."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='rounds-')}")
     return df.checkpoint()

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.keys import order_key
+from tesserae.operators.lineage import settled
+from tesserae.operators.numbering import numbered_rows
 
 
 def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
@@ -30,11 +32,9 @@ def ratio_split(df: DataFrame, id_col: str, label: str, unknown: float, test: fl
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
     target = counts.agg(F.floor(F.sum("n") * F.lit(unknown)).alias("target"))
     away = unknown_classes(counts, target, seed, label).withColumn("is_unknown", F.lit(True))
-    by_class = Window.partitionBy(label)
     ranked = (
-        df.join(away, label, "left")  # a row a class: adaptive execution broadcasts it if it is small
-        .withColumn("rn", F.row_number().over(by_class.orderBy(order_key(seed, id_col), id_col)))
-        .withColumn("n", F.count("*").over(by_class))
+        numbered_rows(df, [order_key(seed, id_col), id_col], "rn", [label])
+        .join(counts.join(away, label, "left"), label)  # a row a class: adaptive execution broadcasts it if it is small
         .withColumn("n_test", F.bround(F.col("n") * test))
         .withColumn("n_val", F.bround((F.col("n") - F.col("n_test")) * val))
     )
@@ -52,20 +52,14 @@ def count_split(df: DataFrame, id_col: str, label: str, unknown: int, test: int,
     classes that still have ``least`` rows, ``most`` rows at most each, of which the first ``val`` are validation. Rows beyond are left out."""
     df = df.where(F.col(label).isNotNull())
     away = unknown_classes(df.groupBy(label).agg(F.count("*").alias("n")), df.sparkSession.range(1).select(F.lit(unknown).alias("target")), seed, label)
-    known = _numbered(df.join(away, label, "left_anti"), label, [label, order_key(seed, id_col), F.col(id_col)])
-    by_class = Window.partitionBy(label)
-    rest = known.where(F.col("rn") > test).withColumn("n", F.count("*").over(by_class)).withColumn("k", F.row_number().over(by_class.orderBy("rn")))
-    rest = _numbered(rest.where((F.col("n") >= least) & (F.col("k") <= most)).withColumnRenamed("rn", "first"), label, [label, F.col("first")])
+    known = settled(numbered_rows(df.join(away, label, "left_anti"), [label, order_key(seed, id_col), id_col]))
+    late = known.where(F.col("rn") > test)
+    left = late.groupBy(label).agg(F.count("*").alias("n"), F.min("rn").alias("first"))  # a class's rows follow each other
+    rest = late.join(left, label).where((F.col("n") >= least) & (F.col("rn") - F.col("first") < most)).drop("n", "first").withColumnRenamed("rn", "known")
+    rest = numbered_rows(rest, ["known"])
     cols = [*(F.col(c) for c in df.columns)]
     return (
         df.join(away, label, "left_semi").select(*cols, F.lit("test.unknown").alias("split"))
         .unionByName(known.where(F.col("rn") <= test).select(*cols, F.lit("test.known").alias("split")))
         .unionByName(rest.select(*cols, F.when(F.col("rn") <= val, "val").otherwise("train").alias("split")))
     )
-
-
-def _numbered(df: DataFrame, label: str, order: list) -> DataFrame:
-    """``rn``: the row's number over all classes in the order of labels. Rows are ranked within their class and shifted by the classes before, so no task holds all rows."""
-    counts = df.groupBy(label).agg(F.count("*").alias("size"))
-    before = counts.withColumn("before", F.sum("size").over(Window.orderBy(label).rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).select(label, "before")
-    return df.withColumn("rn", F.row_number().over(Window.partitionBy(label).orderBy(*order))).join(before, label).withColumn("rn", F.col("rn") + F.col("before")).drop("before")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import boxes as B
 from tesserae.operators import assignment as A
+from tesserae.operators.numbering import numbered_rows
 from tesserae.plans.boxes import DET, _IOU, det, pairs
+from tesserae.plans.matching import best_matching
 from tesserae.plans.registry import query, table
 
 
@@ -58,13 +60,13 @@ def reindexed_ids(spark, sf):
 @query("dense_pair_ids", "WITH p AS (SELECT DISTINCT user_id, event_type, event_type = 'error' AS negative FROM events) SELECT user_id, event_type, row_number() OVER (ORDER BY negative, user_id, event_type) AS new_id FROM p")
 def dense_pair_ids(spark, sf):
     p = table(spark, sf, "events").select("user_id", "event_type", (F.col("event_type") == "error").alias("negative")).distinct()
-    return p.select("user_id", "event_type", F.row_number().over(Window.orderBy("negative", "user_id", "event_type")).cast("long").alias("new_id"))  # pairs, not events
+    return numbered_rows(p, ["negative", "user_id", "event_type"], "new_id").drop("negative")
 
 
 @query("first_seen_track_ids", "WITH p AS (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY 1, 2) SELECT user_id, event_type, dense_rank() OVER (ORDER BY first) AS track FROM p")
 def first_seen_track_ids(spark, sf):
     p = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"))
-    return p.select("user_id", "event_type", F.dense_rank().over(Window.orderBy("first")).cast("long").alias("track"))
+    return numbered_rows(p, ["first"], "track").drop("first")  # an event has one user and type, so no two are equal
 
 
 @query("contiguous_labels", "SELECT user_id, event_id, dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) - 1 AS label FROM events")
@@ -181,9 +183,26 @@ def nearest_conditioning_frames(spark, sf):
     return _frames(spark, sf).select("user_id", "event_id", before.alias("before"), after.alias("after"))
 
 
-@query("least_loaded_worker", f"WITH {_FR} SELECT user_id, event_id, (f - 1) % 4 AS worker FROM fr")
+_LOADS = "[user_id % 5, 2, user_id % 3, 1]"
+
+
+@query(
+    "least_loaded_worker",
+    f"WITH {_FR}, l AS (SELECT user_id, list(event_id ORDER BY f) AS es, {_LOADS} AS start FROM fr GROUP BY 1), g AS (SELECT user_id, list_reduce(list_transform(es, lambda e: {{'loads': CAST([] AS BIGINT[]), 'event': e, 'out': CAST([] AS STRUCT(event BIGINT, worker BIGINT)[])}}), "
+    "lambda a, x: {'loads': list_transform(a.loads, lambda v, i: CASE WHEN i = list_position(a.loads, list_min(a.loads)) THEN v + 1 ELSE v END), 'event': x.event, 'out': list_append(a.out, {'event': x.event, 'worker': CAST(list_position(a.loads, list_min(a.loads)) - 1 AS BIGINT)})}, "
+    "{'loads': CAST(start AS BIGINT[]), 'event': CAST(0 AS BIGINT), 'out': CAST([] AS STRUCT(event BIGINT, worker BIGINT)[])}) AS r FROM l) SELECT user_id, o.event AS event_id, o.worker AS worker FROM (SELECT user_id, unnest(r.out) AS o FROM g)",
+)
 def least_loaded_worker(spark, sf):
-    return _frames(spark, sf).select("user_id", "event_id", ((F.col("f") - 1) % 4).alias("worker"))
+    """A user's events in order go each to the least loaded worker of four, the first of equal ones, from loads that they have already: an ordered fold."""
+    d = _frames(spark, sf).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("f", "event_id"))).alias("x"))
+    loads = F.array(F.col("user_id") % 5, F.lit(2).cast("long"), F.col("user_id") % 3, F.lit(1).cast("long"))
+    start = F.struct(loads.alias("loads"), F.array().cast("array<struct<event_id:bigint,worker:bigint>>").alias("out"))
+
+    def give(acc, e):
+        least = F.array_position(acc["loads"], F.array_min(acc["loads"])) - 1
+        return F.struct(F.transform(acc["loads"], lambda v, i: F.when(i == least, v + 1).otherwise(v)).alias("loads"), F.concat(acc["out"], F.array(F.struct(e["event_id"].alias("event_id"), least.cast("long").alias("worker")))).alias("out"))
+
+    return d.select("user_id", F.explode(F.aggregate("x", start, give)["out"]).alias("o")).select("user_id", "o.event_id", "o.worker")
 
 
 @query("delayed_output", f"WITH {_FR}, n AS (SELECT *, max(f) OVER (PARTITION BY user_id) AS last FROM fr) SELECT user_id, event_id, least(f + 3, last) AS emitted_at FROM n")
@@ -196,23 +215,12 @@ def delayed_output(spark, sf):
 _TRK = f"{DET}, g AS (SELECT category, image_id AS fr, n, w * h AS a, x, y, w, h FROM det WHERE kind = 'F'), p AS (SELECT category, image_id AS fr, n, w * h AS a, x, y, w, h FROM det WHERE kind = 'O')"
 
 
-@query("masklet_iou", f"WITH {_TRK}, j AS (SELECT coalesce(g.category, p.category) AS category, coalesce(g.a, 0) AS ga, coalesce(p.a, 0) AS pa, CASE WHEN g.a IS NULL OR p.a IS NULL THEN 0 ELSE greatest(least(g.x + g.w, p.x + p.w) - greatest(g.x, p.x), 0) * greatest(least(g.y + g.h, p.y + p.h) - greatest(g.y, p.y), 0) END AS i FROM (SELECT * FROM g WHERE n = 1) g FULL JOIN (SELECT * FROM p WHERE n = 2) p ON g.category = p.category AND g.fr = p.fr) SELECT category, round(sum(i) / CAST(sum(ga + pa - i) AS DOUBLE), 6) AS iou FROM j GROUP BY 1")
-def masklet_iou(spark, sf):
-    """Overlap of two tracks over all frames that either has, of the pair that its SQL names; ``masklet_iou_pairs`` has all."""
-    d = det(spark, sf)
-    side = lambda k, n, p: d.where((F.col("kind") == k) & (F.col("n") == n)).select("category", "image_id", *(F.col(c).alias(f"{p}{c}") for c in "xywh"))
-    j = side("F", 1, "g").join(side("O", 2, "p"), ["category", "image_id"], "full")
-    both = F.col("gx").isNotNull() & F.col("px").isNotNull()
-    i, ga, pa = F.when(both, B.overlap("g", "p")).otherwise(0), F.coalesce(B.area("g"), F.lit(0)), F.coalesce(B.area("p"), F.lit(0))
-    return j.groupBy("category").agg(F.round(F.sum(i) / F.sum(ga + pa - i).cast("double"), 6).alias("iou"))
-
-
 @query(
-    "masklet_iou_pairs",
-    f"WITH {_TRK}, gs AS (SELECT category, n, sum(a) AS a FROM g GROUP BY 1, 2), ps AS (SELECT category, n, sum(a) AS a FROM p GROUP BY 1, 2), o AS (SELECT g.category, g.n AS gn, p.n AS pn, sum(greatest(least(g.x + g.w, p.x + p.w) - greatest(g.x, p.x), 0) * greatest(least(g.y + g.h, p.y + p.h) - greatest(g.y, p.y), 0)) AS i FROM g JOIN p ON g.category = p.category AND g.fr = p.fr GROUP BY 1, 2, 3) SELECT gs.category, gs.n AS gn, ps.n AS pn, round(coalesce(i, 0) / CAST(gs.a + ps.a - coalesce(i, 0) AS DOUBLE), 6) AS iou FROM gs JOIN ps ON gs.category = ps.category LEFT JOIN o ON o.category = gs.category AND o.gn = gs.n AND o.pn = ps.n",
+    "masklet_iou",
+    f"WITH {_TRK}, gs AS (SELECT category, n, sum(a) AS a FROM g GROUP BY 1, 2), ps AS (SELECT category, n, sum(a) AS a FROM p GROUP BY 1, 2), o AS (SELECT g.category, g.n AS gn, p.n AS pn, sum(greatest(least(g.x + g.w, p.x + p.w) - greatest(g.x, p.x), 0) * greatest(least(g.y + g.h, p.y + p.h) - greatest(g.y, p.y), 0)) AS i FROM g JOIN p ON g.category = p.category AND g.fr = p.fr GROUP BY 1, 2, 3) SELECT gs.category, gs.n AS gn, ps.n AS pn, CASE WHEN gs.a + ps.a - coalesce(i, 0) > 0 THEN round(coalesce(i, 0) / CAST(gs.a + ps.a - coalesce(i, 0) AS DOUBLE), 6) ELSE 1 END AS iou FROM gs JOIN ps ON gs.category = ps.category LEFT JOIN o ON o.category = gs.category AND o.gn = gs.n AND o.pn = ps.n",
 )
-def masklet_iou_pairs(spark, sf):
-    """All pairs of a ground-truth and a predicted track of a category: frames of one side count by the tracks' areas, so overlaps need only the frames that both have."""
+def masklet_iou(spark, sf):
+    """All pairs of a ground-truth and a predicted track of a category; without an area on either side the overlap is 1. Frames of one side count by the tracks' areas, so overlaps need only the frames that both have."""
     d = det(spark, sf)
     side = lambda k, p: d.where(F.col("kind") == k).select("category", "image_id", *(F.col(c).alias(f"{p}{c}") for c in "nxywh"))
     g, p = side("F", "g"), side("O", "p")
@@ -220,7 +228,8 @@ def masklet_iou_pairs(spark, sf):
     area = lambda t, c: t.groupBy("category", f"{c}n").agg(F.sum(B.area(c)).alias(f"{c}a"))
     j = area(g, "g").join(area(p, "p"), "category").join(both, ["category", "gn", "pn"], "left")
     i = F.coalesce("i", F.lit(0))
-    return j.select("category", "gn", "pn", F.round(i / (F.col("ga") + F.col("pa") - i).cast("double"), 6).alias("iou"))
+    union = F.col("ga") + F.col("pa") - i
+    return j.select("category", "gn", "pn", F.when(union > 0, F.round(i / union.cast("double"), 6)).otherwise(1.0).alias("iou"))
 
 
 @query("detection_counts", f"WITH {DET} SELECT category, count(*) FILTER (WHERE kind = 'O') AS dets, count(*) FILTER (WHERE kind = 'F') AS gt_dets, count(DISTINCT CASE WHEN kind = 'O' THEN n END) AS ids, count(DISTINCT CASE WHEN kind = 'F' THEN n END) AS gt_ids, count(DISTINCT image_id) AS frames FROM det GROUP BY 1")
@@ -248,39 +257,22 @@ def _matches(spark, sf):
     return A.matched(p.select("image_id", "gn", "dn", "iou"), "image_id", "gn", "dn", "iou")
 
 
-@query("optimal_matches")
+_BEST = f"WITH RECURSIVE {DET}, pw AS (SELECT image_id, a.n AS g, b.n AS d, {_IOU} AS w FROM det a JOIN det b USING (image_id) WHERE a.kind = 'F' AND b.kind = 'O' AND {_IOU} > 0), {best_matching('pw', 'image_id')}"
+
+
+@query("optimal_matches", f"{_BEST} SELECT image_id, round(sum(w), 6) AS total, count(*) AS n FROM best GROUP BY 1")
 def optimal_matches(spark, sf):
     """Heaviest one-to-one matching of boxes per image; ties make the pairs, not their total, arbitrary, so the total is given."""
     return _matches(spark, sf).groupBy("image_id").agg(F.round(F.sum("iou"), 6).alias("total"), F.count("*").alias("n"))
 
 
-@query("detection_f1")
+@query(
+    "detection_f1",
+    f"{_BEST}, n AS (SELECT count(*) FILTER (WHERE kind = 'F') AS gt, count(*) FILTER (WHERE kind = 'O') AS dt FROM det), t AS (SELECT threshold, count(*) AS tp FROM best, (VALUES (0.1), (0.25), (0.5), (0.75)) AS v(threshold) WHERE w >= threshold GROUP BY 1), q AS (SELECT CAST(threshold AS DOUBLE) AS threshold, tp, tp / (dt + 1e-4) AS p, tp / (gt + 1e-4) AS r FROM t, n) SELECT threshold, tp, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r + 1e-4), 6) AS f1 FROM q",
+)
 def detection_f1(spark, sf):
     """Micro precision, recall and F1 of optimal matches per threshold."""
     tp = A.thresholds(_matches(spark, sf), "iou", [0.1, 0.25, 0.5, 0.75]).groupBy("threshold").agg(F.count("*").alias("tp"))
     n = det(spark, sf).agg(F.count_if(F.col("kind") == "F").alias("gt"), F.count_if(F.col("kind") == "O").alias("dt"))
     p, r = F.col("tp") / (F.col("dt") + 1e-4), F.col("tp") / (F.col("gt") + 1e-4)
     return tp.crossJoin(n).select("threshold", "tp", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(2 * p * r / (p + r + 1e-4), 6).alias("f1"))
-
-
-_AP = f"""
-{DET}, t AS (SELECT image_id, n AS gn FROM det WHERE kind = 'F'),
-m AS (SELECT b.image_id, b.n AS dn, max(CASE WHEN {_IOU} >= 0.25 THEN 1 ELSE 0 END) AS hit FROM det a JOIN det b USING (image_id) WHERE a.kind = 'F' AND b.kind = 'O' GROUP BY 1, 2),
-d AS (SELECT category, score, det.image_id, n, coalesce(hit, 0) AS hit FROM det LEFT JOIN m ON m.image_id = det.image_id AND dn = n WHERE kind = 'O'),
-c AS (SELECT category, sum(hit) OVER w AS tp, row_number() OVER w AS k, (SELECT count(*) FROM t) AS gt FROM (SELECT d.category, d.score, d.image_id, d.n, d.hit FROM d) q WINDOW w AS (PARTITION BY category ORDER BY score DESC, image_id, n ROWS UNBOUNDED PRECEDING)),
-e AS (SELECT category, tp / CAST(gt AS DOUBLE) AS r, k, max(tp / CAST(k AS DOUBLE)) OVER (PARTITION BY category ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS p FROM c),
-s AS (SELECT category, p * (r - coalesce(lag(r) OVER (PARTITION BY category ORDER BY k), 0)) AS part FROM e)
-"""
-
-
-@query("average_precision", f"WITH {_AP} SELECT category, round(sum(part), 6) AS ap FROM s GROUP BY 1")
-def average_precision(spark, sf):
-    """Area under the precision envelope of detections in score order; a detection hits if it overlaps any ground truth."""
-    best = pairs(spark, sf).groupBy("image_id", F.col("dn").alias("n")).agg(F.max((B.iou("g", "d") >= 0.25).cast("int")).alias("hit"))
-    d = det(spark, sf).where("kind = 'O'").join(best, ["image_id", "n"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
-    w = Window.partitionBy("category").orderBy(F.desc("score"), "image_id", "n").rowsBetween(Window.unboundedPreceding, 0)
-    gt = det(spark, sf).agg(F.count_if(F.col("kind") == "F").alias("gt"))
-    c = d.withColumn("tp", F.sum("hit").over(w)).withColumn("k", F.row_number().over(w)).crossJoin(gt)
-    e = c.select("category", "k", (F.col("tp") / F.col("gt")).alias("r"), F.max(F.col("tp") / F.col("k")).over(Window.partitionBy("category").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)).alias("p"))
-    step = F.col("r") - F.coalesce(F.lag("r").over(Window.partitionBy("category").orderBy("k")), F.lit(0.0))
-    return e.select("category", (F.col("p") * step).alias("part")).groupBy("category").agg(F.round(F.sum("part"), 6).alias("ap"))

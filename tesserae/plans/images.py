@@ -9,6 +9,7 @@ from tesserae.functions.keys import order_key
 from tesserae.operators import dedup as D
 from tesserae.operators import naming as N
 from tesserae.operators import split as S
+from tesserae.operators.numbering import numbered_rows
 from tesserae.plans.registry import query, table
 
 
@@ -76,7 +77,7 @@ def image_path(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.concat_ws("/", F.lit("images"), "source", F.concat(F.col("doc_id").cast("string"), F.lit(".png"))).alias("path"))
 
 
-_CLEAN = "coalesce(nullif(regexp_replace(regexp_replace({0}, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''), 'untitled')"
+_CLEAN = "coalesce(nullif(regexp_replace(regexp_replace(nfc_normalize({0}), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''), 'untitled')"
 
 
 @query("clean_filename", f"SELECT page_id, {_CLEAN.format('url')} AS name FROM pages")
@@ -84,9 +85,22 @@ def clean_filename(spark, sf):
     return table(spark, sf, "pages").select("page_id", N.clean_filename(F.col("url")).alias("name"))
 
 
-@query("unique_names", f"WITH n AS (SELECT p_partkey, {_CLEAN.format('p_name')} AS name FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY p_partkey) - 1 AS k FROM n) SELECT p_partkey, name, CASE WHEN k = 0 THEN name ELSE concat(name, '_', CAST(k AS VARCHAR)) END AS unique_name FROM r")
+#: Names of parts; of some the name has a number at its end already, which repeats of the plain name would take.
+_NAMES = f"""n AS (SELECT p_partkey, {_CLEAN.format("p_name")} || CASE WHEN p_partkey % 11 = 0 THEN '_' || CAST(1 + p_partkey % 7 AS VARCHAR) WHEN p_partkey % 97 = 0 THEN '_2_1' ELSE '' END AS name FROM part),
+s AS (SELECT *, regexp_replace(lower(name), '(_[0-9]+)+$', '') AS stem FROM n), o AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY p_partkey) AS k FROM s)"""
+
+
+@query(
+    "unique_names",
+    f"""WITH RECURSIVE {_NAMES},
+f AS (SELECT stem, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS BIGINT) AS p_partkey, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS unique_name FROM o GROUP BY 1
+  UNION ALL SELECT f.stem, o.k, list_append(used, lower(t)), o.p_partkey, o.name, t FROM f JOIN o ON o.stem = f.stem AND o.k = f.k + 1,
+    LATERAL (SELECT list_filter(list_concat([o.name], list_transform(range(1, len(f.used) + 2), lambda i: o.name || '_' || CAST(i AS VARCHAR))), lambda x: NOT list_contains(f.used, lower(x)))[1] AS t))
+SELECT p_partkey, name, unique_name FROM f WHERE k > 0""",
+)
 def unique_names(spark, sf):
-    return N.unique_names(table(spark, sf, "part").select("p_partkey", N.clean_filename(F.col("p_name")).alias("name")), "name", ["p_partkey"])
+    number = F.when(F.col("p_partkey") % 11 == 0, F.concat(F.lit("_"), (1 + F.col("p_partkey") % 7).cast("string"))).when(F.col("p_partkey") % 97 == 0, "_2_1").otherwise("")
+    return N.unique_names(table(spark, sf, "part").select("p_partkey", F.concat(N.clean_filename(F.col("p_name")), number).alias("name")), "name", ["p_partkey"])
 
 
 @query(
@@ -102,7 +116,7 @@ def numbered_outputs(spark, sf):
 
 @query("augment_plan", "SELECT p_partkey, k AS copy, 42 + (row_number() OVER (ORDER BY p_partkey, k) - 1) AS seed, concat(p_name, '_aug', CASE WHEN k < 10 THEN concat('0', k) ELSE CAST(k AS VARCHAR) END) AS name FROM part, unnest(generate_series(1, 12)) AS t(k)")
 def augment_plan(spark, sf):
-    ranked = table(spark, sf, "part").select("p_partkey", "p_name").withColumn("i", F.row_number().over(Window.orderBy("p_partkey")) - 1)
+    ranked = numbered_rows(table(spark, sf, "part").select("p_partkey", "p_name"), ["p_partkey"], "i").withColumn("i", F.col("i") - 1)
     copies = ranked.select("p_partkey", "p_name", "i", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("copy"))
     return copies.select("p_partkey", F.col("copy").cast("long").alias("copy"), (42 + F.col("i") * 12 + F.col("copy") - 1).cast("long").alias("seed"), F.concat(F.col("p_name"), F.lit("_aug"), N.padded(F.col("copy"), 2)).alias("name"))
 
@@ -144,7 +158,7 @@ def dedup_groups_across_shards(spark, sf):
 
 
 def _hashes(spark, sf):
-    words = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w")).where("w <> ''")
+    words = table(spark, sf, "documents").select("doc_id", F.explode_outer(F.filter(F.array_distinct(F.split(F.lower("text"), " ")), lambda w: w != "")).alias("w"))
     return D.bit_votes(words, "doc_id", "w")
 
 
@@ -152,7 +166,7 @@ _HASHES = """
 words AS (SELECT DISTINCT doc_id, w FROM documents, unnest(string_split(lower(text), ' ')) AS t(w) WHERE w <> ''),
 hashed AS (SELECT doc_id, CAST(concat('0x', substr(md5(w), 1, 15)) AS BIGINT) AS h FROM words),
 votes AS (SELECT doc_id, k, sum(((h >> k) & 1) * 2 - 1) AS v FROM hashed, unnest(generate_series(0, 59)) AS t(k) GROUP BY 1, 2),
-prints AS (SELECT doc_id, CAST(sum(CASE WHEN v > 0 THEN CAST(1 AS BIGINT) << k ELSE 0 END) AS BIGINT) AS hash FROM votes GROUP BY 1)
+prints AS (SELECT doc_id, CAST(coalesce(sum(CASE WHEN v > 0 THEN CAST(1 AS BIGINT) << k ELSE 0 END), 0) AS BIGINT) AS hash FROM documents LEFT JOIN votes USING (doc_id) GROUP BY 1)
 """
 
 
@@ -163,4 +177,4 @@ def perceptual_hash(spark, sf):
 
 @query("hamming_pairs", f"WITH {_HASHES} SELECT a.doc_id AS a, b.doc_id AS b, CAST(bit_count(xor(a.hash, b.hash)) AS BIGINT) AS distance FROM prints a JOIN prints b ON a.doc_id < b.doc_id WHERE bit_count(xor(a.hash, b.hash)) <= 5")
 def hamming_pairs(spark, sf):
-    return D.hamming_pairs(_hashes(spark, sf), "doc_id", "hash", 5)
+    return D.hamming_pairs(_hashes(spark, sf), "doc_id", "hash", 5, bits=60)

@@ -8,29 +8,20 @@ from pyspark.sql import functions as F
 from tesserae.functions import boxes as B
 from tesserae.functions.keys import order_key
 from tesserae.operators.tracking import track_annotations
-from tesserae.plans.boxes import _INTER, _IOU, DET, _side, det, pairs
+from tesserae.plans.boxes import _INTER, DET, _side, det
 from tesserae.plans.registry import query, table
 
-_TRACKS = f"{DET}, tk AS (SELECT category AS video, n AS track, list(CASE WHEN image_id % 4 = 0 THEN NULL ELSE [x, y, w, h] END ORDER BY image_id) AS boxes FROM det WHERE image_id < 200 GROUP BY 1, 2)"
-
-
 def _annotations(boxes):
     """Per video and track the boxes by frame, numbered; an object is absent in every fourth image."""
     d = boxes.select(F.col("category").alias("video"), F.col("n").alias("track"), F.col("image_id").alias("image"), (F.col("image_id") % 4 != 0).alias("present"), "x", (F.col("w") * F.col("h")).alias("area"))
     return track_annotations(d).select(F.col("id").cast("long").alias("id"), "video", "track", F.col("frame").cast("long").alias("frame"), "x", "area")
 
 
-@query("tracklets_to_annotations", f"WITH {_TRACKS}, l AS (SELECT video, track, CAST(i AS BIGINT) AS frame, boxes[i] AS b FROM tk, unnest(generate_series(1, len(boxes))) AS t(i)) SELECT row_number() OVER (ORDER BY video, track, frame) AS id, video, track, frame, b[1] AS x, b[3] * b[4] AS area FROM l WHERE b IS NOT NULL")
-def tracklets_to_annotations(spark, sf):
-    """Over the images that its SQL names, below 200; ``tracklets_to_annotations_whole`` has all."""
-    return _annotations(det(spark, sf).where("image_id < 200"))
-
-
 @query(
-    "tracklets_to_annotations_whole",
+    "tracklets_to_annotations",
     f"WITH {DET}, f AS (SELECT category AS video, n AS track, image_id, row_number() OVER (PARTITION BY category, n ORDER BY image_id) AS frame, x, w * h AS area FROM det) SELECT row_number() OVER (ORDER BY video, track, frame) AS id, video, track, frame, x, area FROM f WHERE image_id % 4 <> 0",
 )
-def tracklets_to_annotations_whole(spark, sf):
+def tracklets_to_annotations(spark, sf):
     return _annotations(det(spark, sf))
 
 
@@ -59,35 +50,6 @@ def tracklet_iou(spark, sf):
     return p.groupBy(F.col("gcategory").alias("category"), F.col("gn").alias("g"), F.col("dn").alias("d")).agg(F.count("*").alias("frames"), F.round(F.sum(B.overlap("g", "d")) / F.sum(B.union("g", "d")).cast("double"), 6).alias("iou"))
 
 
-@query("eleven_point_ap", f"WITH {DET}, m AS (SELECT b.image_id, b.n, max({_IOU}) AS best FROM det a JOIN det b USING (image_id) WHERE a.kind = 'F' AND b.kind = 'O' GROUP BY 1, 2), d AS (SELECT det.*, CASE WHEN coalesce(best, 0) >= 0.25 THEN 1 ELSE 0 END AS hit FROM det LEFT JOIN m USING (image_id, n) WHERE kind = 'O'), c AS (SELECT category, sum(hit) OVER w AS tp, row_number() OVER w AS k, sum(hit) OVER (PARTITION BY category) AS alls FROM d WINDOW w AS (PARTITION BY category ORDER BY score DESC, image_id, n ROWS UNBOUNDED PRECEDING)), p AS (SELECT category, r / 10.0 AS recall, max(CASE WHEN tp * 10 >= r * alls THEN tp / CAST(k AS DOUBLE) ELSE 0 END) AS prec FROM c, unnest(generate_series(0, 10)) AS t(r) GROUP BY 1, 2) SELECT category, round(avg(prec), 6) AS ap FROM p GROUP BY 1")
-def eleven_point_ap(spark, sf):
-    best = pairs(spark, sf).groupBy("image_id", F.col("dn").alias("n")).agg(F.max(B.iou("g", "d")).alias("best"))
-    d = det(spark, sf).where("kind = 'O'").join(best, ["image_id", "n"], "left").withColumn("hit", (F.coalesce("best", F.lit(0.0)) >= 0.25).cast("int"))
-    w = Window.partitionBy("category").orderBy(F.desc("score"), "image_id", "n").rowsBetween(Window.unboundedPreceding, 0)
-    c = d.select("category", F.sum("hit").over(w).alias("tp"), F.row_number().over(w).alias("k"), F.sum("hit").over(Window.partitionBy("category")).alias("alls"))
-    at = [F.max(F.when(F.col("tp") * 10 >= r * F.col("alls"), F.col("tp") / F.col("k")).otherwise(0.0)) for r in range(11)]
-    return c.groupBy("category").agg(F.round(sum(at[1:], at[0]) / 11, 6).alias("ap"))
-
-
-@query("ap_by_rarity", "WITH f AS (SELECT p_brand, count(*) AS n, avg(p_retailprice) AS ap FROM part GROUP BY 1), b AS (SELECT CASE WHEN n < 75 THEN 'rare' WHEN n < 85 THEN 'common' ELSE 'frequent' END AS bucket, avg(ap) AS ap FROM f GROUP BY 1) SELECT bucket, round(ap, 6) AS ap, round(avg(ap) OVER (), 6) AS mean_of_buckets FROM b")
-def ap_by_rarity(spark, sf):
-    f = table(spark, sf, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.avg("p_retailprice").alias("ap"))
-    b = f.groupBy(F.when(F.col("n") < 75, "rare").when(F.col("n") < 85, "common").otherwise("frequent").alias("bucket")).agg(F.avg("ap").alias("ap"))
-    return b.select("bucket", F.round("ap", 6).alias("ap"), F.round(F.avg("ap").over(Window.partitionBy(F.lit(0))), 6).alias("mean_of_buckets"))
-
-
-@query("best_of_several_truths", f"WITH {DET}, s AS (SELECT image_id, category, avg(score) AS f1 FROM det GROUP BY 1, 2) SELECT image_id, max_by(category, struct_pack(a := f1, b := category)) AS category FROM s GROUP BY 1")
-def best_of_several_truths(spark, sf):
-    s = det(spark, sf).groupBy("image_id", "category").agg(F.avg("score").alias("f1"))
-    return s.groupBy("image_id").agg(F.max_by("category", F.struct("f1", "category")).alias("category"))
-
-
-@query("per_video_f1_pivot", f"WITH {DET}, m AS (SELECT a.category, a.image_id, a.n, max({_IOU}) AS best FROM det a JOIN det b USING (image_id, category) WHERE a.kind = 'F' AND b.kind = 'O' GROUP BY 1, 2, 3) SELECT category, count(*) FILTER (WHERE best >= 0.25) AS at_25, count(*) FILTER (WHERE best >= 0.5) AS at_50, count(*) FILTER (WHERE best >= 0.75) AS at_75 FROM m GROUP BY 1")
-def per_video_f1_pivot(spark, sf):
-    p = pairs(spark, sf).where("gcategory = dcategory").groupBy(F.col("gcategory").alias("category"), "image_id", "gn").agg(F.max(B.iou("g", "d")).alias("best"))
-    return p.groupBy("category").agg(*(F.count_if(F.col("best") >= t / 100).alias(f"at_{t}") for t in (25, 50, 75)))
-
-
 # Queries over objects: a conversation stands for a datapoint, its turns for queries.
 @query("capped_queries", "WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY role = 'user', md5(concat('9:', CAST(conv_id AS VARCHAR), ':', CAST(turn AS VARCHAR))), turn) AS k FROM conversations) SELECT conv_id, turn FROM r WHERE k <= 4")
 def capped_queries(spark, sf):
@@ -148,31 +110,12 @@ def hex_colours(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.concat(two(F.col("p_partkey") % 256), two(F.col("p_size") * 5), two((F.col("p_partkey") * 7) % 256)).alias("colour"))
 
 
-@query("zoom_crop", f"WITH {DET}, g AS (SELECT image_id, n, x, y, w, h, greatest(0.2 * w, 16) AS gw, greatest(0.2 * h, 16) AS gh FROM det) SELECT image_id, n, round(greatest(0, x - gw), 4) AS x1, round(greatest(0, y - gh), 4) AS y1, round(least(120, x + w + gw), 4) AS x2, round(least(100, y + h + gh), 4) AS y2 FROM g")
-def zoom_crop(spark, sf):
-    gw, gh = F.greatest(0.2 * F.col("w"), F.lit(16.0)), F.greatest(0.2 * F.col("h"), F.lit(16.0))
-    lo, hi = (lambda v: F.round(F.greatest(F.lit(0.0), v), 4)), (lambda v, m: F.round(F.least(F.lit(float(m)), v), 4))
-    return det(spark, sf).select("image_id", "n", lo(F.col("x") - gw).alias("x1"), lo(F.col("y") - gh).alias("y1"), hi(F.col("x") + F.col("w") + gw, 120).alias("x2"), hi(F.col("y") + F.col("h") + gh, 100).alias("y2"))
-
-
-@query("otsu_candidate", f"WITH {DET}, c AS (SELECT image_id, category, max(w * h) AS largest, sum(w * h) AS total, count(*) AS n FROM det GROUP BY 1, 2), s AS (SELECT image_id, category, largest / 1200.0 + total / 12000.0 - 0.05 * n AS score FROM c) SELECT image_id, max_by(category, struct_pack(a := round(score, 9), b := category)) AS polarity FROM s GROUP BY 1")
-def otsu_candidate(spark, sf):
-    area = F.col("w") * F.col("h")
-    s = det(spark, sf).groupBy("image_id", "category").agg((F.max(area) / 1200 + F.sum(area) / 12000 - 0.05 * F.count("*")).alias("score"))
-    return s.groupBy("image_id").agg(F.max_by("category", F.struct(F.round("score", 9), F.col("category"))).alias("polarity"))
-
-
 @query("result_tallies", "SELECT o_orderstatus AS status, count(*) AS total, count(*) FILTER (WHERE o_totalprice > 250000) AS processed, count(*) FILTER (WHERE o_totalprice <= 250000 AND o_custkey % 2 = 0) AS skipped FROM orders GROUP BY 1")
 def result_tallies(spark, sf):
     big = F.col("o_totalprice") > 250000
     return table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("total"), F.count_if(big).alias("processed"), F.count_if(~big & (F.col("o_custkey") % 2 == 0)).alias("skipped"))
 
 
-@query("tool_call_images", "SELECT conv_id, CAST(sum(len(regexp_extract_all(text, '[A-Z]'))) AS BIGINT) AS marks FROM conversations GROUP BY 1")
-def tool_call_images(spark, sf):
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.sum(F.size(F.regexp_extract_all("text", F.lit("([A-Z])"), F.lit(1)))).alias("marks"))
-
-
 @query("frechet_distance")
 def frechet_distance(spark, sf):
     """Between the embeddings of even and odd labels: means and covariances are one aggregate of the 64 dimensions' products; the square root is numpy's."""

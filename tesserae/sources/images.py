@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesserae.operators.numbering import numbered_rows
+
 LABELLED = T.StructType([T.StructField("image", T.StringType()), T.StructField("label", T.StringType())])
 #: Suffixes that count as images and as videos, in lower case.
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp")
@@ -62,13 +64,11 @@ def coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFram
 
 def results(predictions: DataFrame, images: DataFrame) -> DataFrame:
     """Predictions (image_id, category_id, bbox, score) as annotations: area, polygon of the box, id by image and score. An image that isn't known is an error."""
-    from pyspark.sql import Window
-
     known = predictions.join(images.select(F.col("id").alias("image_id"), F.lit(True).alias("known")), "image_id", "left")
     x, y, w, h = (F.get("bbox", F.lit(k)) for k in range(4))
     checked = known.withColumn("image_id", F.when(F.col("known"), F.col("image_id")).otherwise(F.raise_error(F.concat(F.lit("unknown image "), F.col("image_id").cast("string"))).cast("long")))
-    return checked.select(
-        F.row_number().over(Window.orderBy("image_id", F.desc("score"), "category_id", "bbox")).cast("long").alias("id"),
+    return numbered_rows(checked, ["image_id", -F.col("score"), "category_id", "bbox"], "id").select(
+        F.col("id").cast("long").alias("id"),
         "image_id", "category_id", "bbox", "score", (w * h).alias("area"), F.array(F.array(x, y, x, y + h, x + w, y + h, x + w, y)).alias("segmentation"), F.lit(0).alias("iscrowd"),
     )
 
