@@ -83,15 +83,3 @@ def cluster_agreement(df: DataFrame, label: str, cluster: str) -> DataFrame:
     both, pa, pb, all_ = F.sum(pairs(F.col("n"))), F.sum(F.when(first_y, pairs(F.col("a")))), F.sum(F.when(first_c, pairs(F.col("b")))), F.max(pairs(N))
     chance = pa * pb / all_
     return t.agg(_ratio(2 * mi, hy + hc).alias("nmi"), ((both - chance) / ((pa + pb) / 2 - chance)).alias("ari"), (F.sum(F.when(first_c, F.col("top"))) / F.max(N)).alias("purity"))
-
-
-def similarities(df: DataFrame, id_col: str, vec: str, label: str, block: int = 64) -> DataFrame:
-    """Dot products of unit vectors for every ordered pair (q, i), labels with them: evaluation of all against all, in blocks.
-
-    Quadratic by definition: embeddings metrics are meant for a sample of bounded size, which ``sample_rows`` of the caller sets.
-    """
-    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    unit = df.select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.transform(vec, lambda x: x.cast("double") / F.when(norm > 0, norm).otherwise(1.0)).alias("v"))
-    a, b = (unit.select(*(F.col(c).alias(f"{p}_{c}") for c in unit.columns)) for p in "qi")
-    dot = F.aggregate(F.zip_with("q_v", "i_v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return a.crossJoin(b).select("q_id", "q_label", "i_id", "i_label", F.round(dot, 9).alias("dot"))

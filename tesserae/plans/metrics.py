@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserae.operators import metrics as M
+from tesserae.operators import neighbours as N
 from tesserae.plans.registry import query, table
 
 #: A prediction to judge: a customer's segment as a number, and a noisy guess of it.
@@ -72,20 +73,18 @@ r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dot DESC, i_id) AS
 """
 
 
-def _near(spark, sf, own=False):
-    s = M.similarities(table(spark, sf, "embeddings"), "vec_id", "embedding", "label")
-    s = s if own else s.where("q_id <> i_id")
-    return s.withColumn("k", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("dot"), "i_id")))
+def _near(spark, sf, k, own=False):
+    return N.nearest(table(spark, sf, "embeddings"), "vec_id", "embedding", "label", k, own)
 
 
 @query("nearest_neighbours", f"WITH {_UNIT} SELECT q_id, i_id, k FROM r WHERE k <= 3")
 def nearest_neighbours(spark, sf):
-    return _near(spark, sf).where("k <= 3").select("q_id", "i_id", F.col("k").cast("long").alias("k"))
+    return _near(spark, sf, 3).select("q_id", "i_id", F.col("k").cast("long").alias("k"))
 
 
 @query("recall_at_k", f"WITH {_UNIT}, h AS (SELECT q_id, min(k) FILTER (WHERE q_label = i_label) AS best FROM r WHERE k <= 10 GROUP BY 1) SELECT round(avg(CASE WHEN best <= 1 THEN 1.0 ELSE 0 END), 6) AS r1, round(avg(CASE WHEN best <= 5 THEN 1.0 ELSE 0 END), 6) AS r5, round(avg(CASE WHEN best <= 10 THEN 1.0 ELSE 0 END), 6) AS r10 FROM h")
 def recall_at_k(spark, sf):
-    h = _near(spark, sf).where("k <= 10").groupBy("q_id").agg(F.min(F.when(F.col("q_label") == F.col("i_label"), F.col("k"))).alias("best"))
+    h = _near(spark, sf, 10).groupBy("q_id").agg(F.min(F.when(F.col("q_label") == F.col("i_label"), F.col("k"))).alias("best"))
     return h.agg(*(F.round(F.avg(F.when(F.col("best") <= n, 1.0).otherwise(0.0)), 6).alias(f"r{n}") for n in (1, 5, 10)))
 
 
@@ -95,7 +94,7 @@ def recall_at_k(spark, sf):
 )
 def knn_accuracy(spark, sf):
     """Of 1, 5 and 20 neighbours, each row among its own; ties go to the smallest label."""
-    near = _near(spark, sf, own=True).where("k <= 20").withColumn("n", F.explode(F.array(F.lit(1), F.lit(5), F.lit(20)))).where("k <= n")
+    near = _near(spark, sf, 20, own=True).withColumn("n", F.explode(F.array(F.lit(1), F.lit(5), F.lit(20)))).where("k <= n")
     votes = near.groupBy("q_id", "q_label", "n", "i_label").agg(F.count("*").alias("votes"))
     best = votes.withColumn("w", F.row_number().over(Window.partitionBy("q_id", "n").orderBy(F.desc("votes"), "i_label"))).where("w = 1")
     return best.groupBy(F.col("n").cast("long").alias("n")).agg(F.round(F.avg(F.when(F.col("q_label") == F.col("i_label"), 1.0).otherwise(0.0)), 6).alias("accuracy"))
@@ -106,9 +105,9 @@ def knn_accuracy(spark, sf):
     f"WITH {_UNIT}, c AS (SELECT label, count(*) - 1 AS big FROM u GROUP BY 1), h AS (SELECT q_id, big, k, CASE WHEN q_label = i_label THEN 1.0 ELSE 0 END AS hit FROM r JOIN c ON c.label = q_label WHERE k <= big AND big > 0), s AS (SELECT *, sum(hit) OVER (PARTITION BY q_id ORDER BY k ROWS UNBOUNDED PRECEDING) / k AS prec FROM h), q AS (SELECT q_id, sum(prec * hit) / max(big) AS ap FROM s GROUP BY 1) SELECT round(avg(ap), 6) AS map_r FROM q",
 )
 def map_at_r(spark, sf):
-    size = table(spark, sf, "embeddings").groupBy(F.col("label").alias("q_label")).agg((F.count("*") - 1).alias("big"))
+    size = table(spark, sf, "embeddings").groupBy(F.col("label").cast("long").alias("label")).agg((F.count("*") - 1).alias("k"))
     w = Window.partitionBy("q_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    h = _near(spark, sf).join(size, "q_label").where("k <= big AND big > 0").withColumn("hit", F.when(F.col("q_label") == F.col("i_label"), 1.0).otherwise(0.0))
+    h = _near(spark, sf, size).join(size.select(F.col("label").alias("q_label"), F.col("k").alias("big")), "q_label").withColumn("hit", F.when(F.col("q_label") == F.col("i_label"), 1.0).otherwise(0.0))
     q = h.withColumn("prec", F.sum("hit").over(w) / F.col("k")).groupBy("q_id").agg((F.sum(F.col("prec") * F.col("hit")) / F.max("big")).alias("ap"))
     return q.agg(F.round(F.avg("ap"), 6).alias("map_r"))
 
@@ -118,7 +117,7 @@ def map_at_r(spark, sf):
     f"WITH {_UNIT}, e AS (SELECT q_id, q_label, i_label, avg(sqrt(greatest(2 - 2 * dot, 0))) AS m FROM r GROUP BY 1, 2, 3), s AS (SELECT q_id, max(m) FILTER (WHERE q_label = i_label) AS a, min(m) FILTER (WHERE q_label <> i_label) AS b FROM e GROUP BY 1) SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM s",
 )
 def silhouette(spark, sf):
-    e = _near(spark, sf).groupBy("q_id", "q_label", "i_label").agg(F.avg(F.sqrt(F.greatest(2 - 2 * F.col("dot"), F.lit(0.0)))).alias("m"))
+    e = N.mean_distances(table(spark, sf, "embeddings"), "vec_id", "embedding", "label")
     same = F.col("q_label") == F.col("i_label")
     s = e.groupBy("q_id").agg(F.max(F.when(same, F.col("m"))).alias("a"), F.min(F.when(~same, F.col("m"))).alias("b"))
     return s.agg(F.round(F.avg(F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0))), 6).alias("silhouette"))

@@ -22,6 +22,6 @@ def test_numbers_run_over_parts_and_tracks(spark, per):
 
 def test_no_image_is_left_out(spark):
     boxes = spark.read.parquet(f"{SF}/lineitem.parquet").where("l_orderkey % 4 <> 0")
-    d = registry.queries()["tracklets_to_annotations_whole"](spark, SF)
+    d = registry.queries()["tracklets_to_annotations"](spark, SF)
     assert boxes.where("l_orderkey >= 200").count() > 0
     assert d.count() == d.select("id").distinct().count() == boxes.count()
