@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("splits", "images", "boxes", "metrics", "coco", "tracking", "records", "detection", "video")
+_MODULES = ("splits", "images", "boxes", "metrics", "coco", "tracking", "records", "detection", "video", "formats", "queries")
 
 
 def query(name: str, sql: str | None = None):

@@ -88,3 +88,56 @@ def resolved(table: DataFrame, listing: DataFrame) -> tuple[DataFrame, DataFrame
     """Rows whose image is in the listing (by name), and the names that are missing."""
     names = listing.select(F.element_at(F.split("path", "/"), -1).alias("image"))
     return table.join(names, "image", "left_semi"), table.join(names, "image", "left_anti").select("image").distinct()
+
+
+TRACKLETS = "struct<id:long,video_id:long,category_id:long,bboxes:array<array<double>>,areas:array<double>,iscrowd:int>"
+
+
+def tracklets(spark: SparkSession, path: str, one_class: bool = False, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Videos and annotations of YT-VIS documents. A video is an image, an absent box is [0, 0, 0, 0], an absent area 0; ``area`` is the mean over the frames.
+
+    ``one_class``: all categories are -1. A document is read whole by one task; a file may hold one, or with ``lines`` one a line.
+    """
+    d = spark.read.schema(f"videos array<struct<id:long,height:int,width:int,length:int>>, annotations array<{TRACKLETS}>").option("multiLine", not lines).json(path)
+    v = d.select(F.explode("videos").alias("x")).select("x.*")
+    a = d.select(F.explode("annotations").alias("x")).select("x.*")
+    return v, _tracked(a.withColumnRenamed("video_id", "image_id"), one_class)
+
+
+def _tracked(a: DataFrame, one_class: bool) -> DataFrame:
+    none = F.array(*(F.lit(0.0) for _ in range(4)))
+    a = a.withColumns({"bboxes": F.transform("bboxes", lambda b: F.coalesce(b, none)), "areas": F.transform("areas", lambda x: F.coalesce(x, F.lit(0.0)))})
+    mean = F.when(F.size("areas") > 0, F.aggregate("areas", F.lit(0.0), lambda s, x: s + x) / F.size("areas"))
+    return a.withColumns({"category_id": F.lit(-1).cast("long") if one_class else F.col("category_id"), "area": mean})
+
+
+def tracklet_results(predictions: DataFrame, videos: DataFrame) -> DataFrame:
+    """Predicted tracklets (image_id, category_id, bboxes, score) as annotations: areas of boxes, their mean, ids in order of image and score. An image that isn't known is an error."""
+    known = predictions.join(videos.select(F.col("id").alias("image_id"), F.lit(True).alias("known")), "image_id", "left")
+    checked = known.withColumn("image_id", F.when(F.col("known"), F.col("image_id")).otherwise(F.raise_error(F.concat(F.lit("unknown image "), F.col("image_id").cast("string"))).cast("long"))).drop("known")
+    sized = checked.withColumn("areas", F.transform("bboxes", lambda b: b[2] * b[3])).withColumn("iscrowd", F.lit(0))
+    return numbered_rows(_tracked(sized, False), ["image_id", -F.col("score"), "category_id", "bboxes"], "id")
+
+
+def shard_of_epoch(shards: list[str], epoch: int) -> str:
+    """Annotation shards are taken in turn, one an epoch."""
+    return shards[epoch % len(shards)]
+
+
+def tar_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Files in the tar archives of a folder: archive, member, size and content. An archive is streamed by one task, a member at a time."""
+
+    def members(batches):
+        import io
+        import tarfile
+
+        import pandas as pd
+
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+                    for m in tar:
+                        if m.isfile():
+                            yield pd.DataFrame({"archive": [path], "member": [m.name], "size": [m.size], "content": [tar.extractfile(m).read()]})
+
+    return files(spark, folder, ("tar",), content=True).select("path", "content").mapInPandas(members, "archive string, member string, size long, content binary")

@@ -27,17 +27,62 @@ def coco_document(images: DataFrame, annotations: DataFrame, categories: DataFra
 
 
 def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str, corners: bool = False) -> None:
-    coco_document(images, annotations, categories, corners).write.mode("overwrite").text(path)
+    """One COCO file of tables of any size: executors write each table as JSON lines beside it, and the driver joins those files by streaming them, one block at a time."""
+    from tesserae.sources.files import joined
+
+    if corners:
+        x, y, w, h = (F.get("bbox", F.lit(k)) for k in range(4))
+        annotations = annotations.withColumn("bbox", F.array(x, y, x + w, y + h))
+    parts = {"images": images, "annotations": annotations, "categories": categories}
+    for name, d in parts.items():
+        d.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(f"{path}.{name}")
+    joined(path, {name: f"{path}.{name}" for name in parts})
 
 
 def yolo_line(category, x, y, w, h, width, height):
     return F.format_string("%d %.6f %.6f %.6f %.6f", category, (x + w / 2) / width, (y + h / 2) / height, w / width, h / height)
 
 
-def write_yolo(boxes: DataFrame, path: str) -> None:
-    """boxes: stem, category, x, y, w, h, width, height. A folder per image stem, with its lines."""
+def yolo_polygon(category, polygon, width, height):
+    """A line of a polygon's points, x and y in turn, in shares of the image."""
+    parts = F.transform(polygon, lambda v, i: F.format_string("%.6f", F.when(i % 2 == 0, v / width).otherwise(v / height)))
+    return F.concat_ws(" ", category.cast("string"), F.array_join(parts, " "))
+
+
+def data_yaml(names: list[str], train: str = "images") -> str:
+    """Class names in order, each once, in quotes."""
+    kept = list(dict.fromkeys(names))
+    return f"train: {train}\nnc: {len(kept)}\nnames: [{', '.join(chr(34) + n + chr(34) for n in kept)}]\n"
+
+
+def write_yolo(boxes: DataFrame, path: str, names: list[str] | None = None) -> None:
+    """boxes: stem, category, x, y, w, h, width, height and, for lines of polygons, polygon. ``labels`` has a folder per image stem, with its lines; with ``names`` (few) a ``data.yaml``."""
     line = yolo_line(F.col("category"), *(F.col(c).cast("double") for c in ("x", "y", "w", "h", "width", "height")))
-    boxes.select("stem", line.alias("value")).write.mode("overwrite").partitionBy("stem").text(path)
+    if "polygon" in boxes.columns:
+        line = F.when(F.size("polygon") > 0, yolo_polygon(F.col("category"), F.col("polygon"), F.col("width"), F.col("height"))).otherwise(line)
+    boxes.select("stem", line.alias("value")).write.mode("overwrite").partitionBy("stem").text(f"{path}/labels")
+    if names is not None:
+        from tesserae.sources.files import put
+
+        put(f"{path}/data.yaml", data_yaml(names))
+
+
+def write_voc(boxes: DataFrame, path: str) -> None:
+    """``Annotations``: a folder per image stem with its document; ``ImageSets/Main/default``: the stems."""
+    docs = voc_document(boxes)
+    docs.select("stem", F.col("xml").alias("value")).write.mode("overwrite").partitionBy("stem").text(f"{path}/Annotations")
+    boxes.select(F.col("stem").alias("value")).distinct().write.mode("overwrite").text(f"{path}/ImageSets/Main/default")
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """Embeddings, metrics, predictions, evaluations: CSV with a header. Arrays are widened before (``functions.columns.widened``)."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_pivot(df: DataFrame, path: str) -> None:
+    """Tab-separated figures with four decimals."""
+    cols = [F.format_string("%.4f", F.col(f"`{c}`").cast("double")).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes]
+    df.select(*cols).write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
 
 
 def voc_document(boxes: DataFrame) -> DataFrame:

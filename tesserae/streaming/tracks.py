@@ -44,7 +44,10 @@ def track_status(frames: DataFrame, delay: int = 3, low: int = -4, high: int = 8
             counter, in_row, confirmed = step(counter, in_row, confirmed, held.pop(f), low, high, needed)
             out.append((key[0], f, counter, confirmed))
         left = sorted(held)
-        state.update((counter, in_row, confirmed, left, [held[f] for f in left]))
+        if end:  # the video is over
+            state.remove()
+        else:
+            state.update((counter, in_row, confirmed, left, [held[f] for f in left]))
         yield pd.DataFrame(out, columns=["video", "frame", "counter", "confirmed"])
 
     return frames.groupBy("video").applyInPandasWithState(run, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
@@ -96,8 +99,15 @@ def early_removal_stream(log: DataFrame, delay: int, misses: int, doubles: int,
                     gone.add(t)
                     out.append((key[0], t, first[t], frame, cause))
             held = {x for x in held if x[0] != frame}
-            miss = {t: n for t, n in miss.items() if frame < first[t] + delay}
+            open_ = {t for t in miss if frame < first[t] + delay}
+            miss = {t: n for t, n in miss.items() if t in open_}
             pair = {(a, t): n for (a, t), n in pair.items() if frame < first[t] + delay}
+        if end:  # the video is over
+            state.remove()
+            yield pd.DataFrame(out, columns=["video", "track", "first", "removed_at", "cause"])
+            return
+        # A track that can still go, or is needed to order others by their first frames, is kept; one that is gone for good needs no count.
+        gone = {t for t in gone if last - wait < first[t] + delay}
         kept = {"held": sorted(held, key=str), "first": sorted(first.items()), "miss": sorted(miss.items()), "pair": sorted((a, b, n) for (a, b), n in pair.items()), "gone": sorted(gone)}
         state.update((json.dumps(kept),))
         yield pd.DataFrame(out, columns=["video", "track", "first", "removed_at", "cause"])
