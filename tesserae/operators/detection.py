@@ -118,41 +118,84 @@ def best_truth(scores: DataFrame) -> DataFrame:
 
 def image_level_f1(images: DataFrame, matches: DataFrame, steps: list[float]) -> DataFrame:
     """Per threshold: micro counts and F1, F1 over images that have ground truth (micro, macro), image-level recall, precision, F1, false-positive rate, Matthews
-    correlation, and their product with the positive F1.
+    correlation, and their product with the positive F1 (``cgf1``: micro).
 
     images (image, gt, dt): all images with their counts, zeros included; matches (image, weight): optimal matches. Box figures add 1e-4 below a
-    quotient, image figures 1e-6. An image without either is a true negative and has no box figures; the macro mean leaves out images without detections.
+    quotient, image figures 1e-6. An image without either is a true negative and has no box figures; the macro mean leaves out images without detections,
+    ``macro_f1_all`` counts them as 0. ``perfect_pos`` and ``perfect_neg`` are the shares of images with and without ground truth that have no wrong box;
+    ``j`` is the mean over images with both of the mean overlap of their matches, of which there are as many as the smaller side has boxes.
     """
-    level = F.explode(F.array(*(F.lit(t) for t in steps))).alias("threshold")
-    tp = matches.select("image", "weight", level).where("weight >= threshold").groupBy("image", "threshold").agg(F.count("*").alias("tp"))
-    d = images.select("image", "gt", "dt", level).join(tp, ["image", "threshold"], "left").na.fill(0, ["tp"])
+    reached = F.array(*(F.struct(F.lit(t).alias("threshold"), F.count_if(F.col("weight") >= t).alias("tp")) for t in steps))
+    per = matches.groupBy("image").agg(F.sum("weight").alias("overlap"), reached.alias("levels"))
+    none = F.array(*(F.struct(F.lit(t).alias("threshold"), F.lit(0).cast("long").alias("tp")) for t in steps))
+    d = images.select("image", "gt", "dt").join(per, "image", "left").select("gt", "dt", F.coalesce("overlap", F.lit(0.0)).alias("overlap"), F.inline(F.coalesce("levels", none)))
     f1 = lambda p, r, e: 2 * p * r / (p + r + e)
     c, gt, dt = F.col("tp"), F.col("gt"), F.col("dt")
     local = f1(c / (dt + 1e-4), c / (gt + 1e-4), 1e-4)
     both = (gt > 0) & (dt > 0)
     s = d.groupBy("threshold").agg(
         F.sum("tp").alias("tp"), F.sum(dt - c).alias("fp"), F.sum(gt - c).alias("fn"), F.sum(F.when(gt > 0, dt - c).otherwise(0)).alias("pfp"),
-        F.avg(F.when(both, local)).alias("positive_macro_f1"),
+        F.avg(F.when(both, local)).alias("positive_macro_f1"), F.avg(F.when(gt > 0, local)).alias("macro_f1_all"),
+        (F.count_if((gt > 0) & (c == gt) & (c == dt)) / (F.count_if(gt > 0) + 1e-9)).alias("perfect_pos"),
+        (F.count_if((gt == 0) & (dt == 0)) / (F.count_if(gt == 0) + 1e-9)).alias("perfect_neg"),
+        (F.sum(F.when(both, F.col("overlap") / F.least(gt, dt)).otherwise(0.0)) / (F.count_if(both) + 1e-9)).alias("j"),
         F.count_if(both).alias("il_tp"), F.count_if((gt == 0) & (dt > 0)).alias("il_fp"), F.count_if((gt > 0) & (dt == 0)).alias("il_fn"), F.count_if((gt == 0) & (dt == 0)).alias("il_tn"),
     )
     q = lambda a, b, e: F.col(a) / (F.col(a) + F.col(b) + e)
     s = s.withColumns({"precision": q("tp", "fp", 1e-4), "recall": q("tp", "fn", 1e-4), "pp": q("tp", "pfp", 1e-4), "il_recall": q("il_tp", "il_fn", 1e-6), "il_precision": q("il_tp", "il_fp", 1e-6), "il_fpr": q("il_fp", "il_tn", 1e-6)})
     a, b, e, n = (F.col(f"il_{x}").cast("double") for x in ("tp", "fp", "fn", "tn"))
     s = s.withColumns({"f1": f1(F.col("precision"), F.col("recall"), 1e-4), "positive_micro_f1": f1(F.col("pp"), F.col("recall"), 1e-4), "il_f1": f1(F.col("il_precision"), F.col("il_recall"), 1e-6), "il_mcc": (a * n - b * e) / (F.sqrt((a + b) * (a + e) * (n + b) * (n + e)) + 1e-6)})
-    return s.withColumn("cgf1", F.col("positive_micro_f1") * F.col("il_mcc")).drop("pp", "pfp")
+    products = {"cgf1": "positive_micro_f1", "cgf1_macro": "positive_macro_f1", "cgf1_macro_all": "macro_f1_all"}
+    return s.withColumns({k: F.col(v) * F.col("il_mcc") for k, v in products.items()}).drop("pp", "pfp")
 
 
-def least_cost_pairs(pairs: DataFrame, prob: str, weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
-    """One-to-one training targets: per image the matching of least cost, as many pairs as the smaller side has: (image, g, d, cost).
+def class_cost(prob: Column, focal: tuple[float, float] | None = None, eps: float = 1e-8) -> Column:
+    """Minus the probability or, with focal (alpha, gamma), what the focal loss of a positive has over that of a negative; ``eps`` is added within logarithms."""
+    if focal is None:
+        return -prob
+    alpha, gamma = focal
+    return (1 - alpha) * F.pow(prob, F.lit(gamma)) * F.log(1 - prob + eps) - alpha * F.pow(1 - prob, F.lit(gamma)) * F.log(prob + eps)
+
+
+def least_cost_pairs(
+    pairs: DataFrame, prob: str, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), focal: tuple[float, float] | None = None, by_overlap: bool = False, repeats: int = 1, eps: float = 1e-8
+) -> DataFrame:
+    """Training targets: per image the matching of least cost, as many pairs as the smaller side has: (image, g, d, cost).
 
     pairs: every prediction with every target of an image, boxes as prefixed columns gx.. and dx.. in shares of the image, ``prob`` the predicted probability of
-    the target's class. The cost is weighted: minus probability, distance of corners and sizes (L1 over centre and size), minus generalised overlap.
+    the target's class. The cost is weighted: ``class_cost``, distance of corners and sizes (L1 over centre and size), minus generalised overlap. With
+    ``by_overlap`` a focal cost takes the probability times the generalised overlap rescaled to 0..1. A target may be taken ``repeats`` times, by different
+    predictions. Predictions and targets that are not valid are left out of ``pairs``: a matching that avoids them is the same.
     """
+    if repeats < 1:
+        raise ValueError("repeats must be at least 1")
+    if by_overlap and focal is None:
+        raise ValueError("by_overlap needs focal")
     cls, l1, giou = weights
     gap = lambda a, b: F.abs(a - b)
     mid = lambda p, at, n: F.col(f"{p}{at}") + F.col(f"{p}{n}") / 2
     apart = gap(mid("g", "x", "w"), mid("d", "x", "w")) + gap(mid("g", "y", "h"), mid("d", "y", "h")) + gap(F.col("gw"), F.col("dw")) + gap(F.col("gh"), F.col("dh"))
-    cost = l1 * apart - cls * F.col(prob) - giou * B.giou("g", "d")
-    bound = 1 + 4 * abs(l1) + abs(cls) + abs(giou)  # above any cost of boxes within the image, so every pair weighs more than 0
-    solved = matched(pairs.select("image", "g", "d", (bound - cost).alias("weight")), "image", "g", "d", "weight")
-    return solved.select("image", "g", "d", (bound - F.col("weight")).alias("cost"))
+    shared = B.giou("g", "d")
+    p = F.col(prob) * (shared + 1) / 2 if by_overlap else F.col(prob)
+    cost = l1 * apart + cls * class_cost(p, focal, eps) - giou * shared
+    d = pairs.select("image", "g", "d", (-cost).alias("weight"))
+    if repeats > 1:
+        d = d.select("image", F.explode(F.sequence(F.col("g") * repeats, F.col("g") * repeats + repeats - 1)).alias("g"), "d", "weight")
+    solved = matched(d, "image", "g", "d", "weight", zeros=True)  # all pairs are there, so no weight is made up
+    return solved.select("image", F.floor(F.col("g") / repeats).alias("g") if repeats > 1 else F.col("g"), "d", (-F.col("weight")).alias("cost"))
+
+
+def one_to_many_pairs(pairs: DataFrame, prob: str, alpha: float = 0.3, threshold: float = 0.4, top: int = 6) -> DataFrame:
+    """Training targets that take several predictions: (image, g, d, score), score = alpha x probability + (1 - alpha) x overlap, over ``threshold``.
+
+    Of a target's scores those count that exceed the quantile 1 - top / n of all n predictions of the image (linear between ranks), which are the ``top``
+    highest without those equal to the next; of n = top the lowest is left out, and of fewer all count. pairs as for ``least_cost_pairs``.
+    """
+    if top < 1 or not 0 <= alpha <= 1:
+        raise ValueError("top must be at least 1 and alpha within 0 and 1")
+    d = pairs.select("image", "g", "d", (alpha * F.col(prob) + (1 - alpha) * B.iou("g", "d")).alias("score"))
+    of = Window.partitionBy("image", "g")
+    as_high = F.count("*").over(of.orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, 0))
+    n, lowest = F.count("*").over(of), F.min("score").over(of)
+    d = d.withColumns({"as_high": as_high, "n": n, "lowest": lowest})
+    return d.where((F.col("score") > threshold) & (F.col("as_high") <= top) & ((F.col("n") != top) | (F.col("score") > F.col("lowest")))).select("image", "g", "d", "score")

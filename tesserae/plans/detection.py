@@ -11,7 +11,7 @@ from tesserae.operators import dedup as D
 from tesserae.operators import detection as T
 from tesserae.operators import metrics as M
 from tesserae.operators import records as R
-from tesserae.plans.boxes import _IOU, _side, DET, det, pairs
+from tesserae.plans.boxes import _HULL, _IOU, _UNION, _side, DET, det, pairs
 from tesserae.plans.images import _HASHES, _hashes
 from tesserae.plans.metrics import _PRED, _pred
 from tesserae.plans.matching import best_matching
@@ -223,14 +223,17 @@ def tool_call_images(spark, sf):
 _IMAGE_LEVEL = f"""WITH RECURSIVE {DET}, k AS (SELECT * FROM det WHERE NOT (kind = 'F' AND image_id % 5 = 0) AND NOT (kind = 'O' AND image_id % 7 = 0)),
 pw AS (SELECT image_id, a.n AS g, b.n AS d, {_IOU} AS w FROM k a JOIN k b USING (image_id) WHERE a.kind = 'F' AND b.kind = 'O' AND {_IOU} > 0), {best_matching("pw", "image_id")},
 im AS (SELECT o_orderkey AS image_id, count(*) FILTER (WHERE kind = 'F') AS gt, count(*) FILTER (WHERE kind = 'O') AS dt FROM orders LEFT JOIN k ON image_id = o_orderkey GROUP BY 1),
-l AS (SELECT im.image_id, gt, dt, t, count(w) FILTER (WHERE w >= t) AS tp FROM im CROSS JOIN (SELECT CAST(unnest([0.1, 0.25, 0.5]) AS DOUBLE) AS t) LEFT JOIN best USING (image_id) GROUP BY ALL),
+l AS (SELECT im.image_id, gt, dt, t, count(w) FILTER (WHERE w >= t) AS tp, coalesce(sum(w), 0) AS overlap FROM im CROSS JOIN (SELECT CAST(unnest([0.1, 0.25, 0.5]) AS DOUBLE) AS t) LEFT JOIN best USING (image_id) GROUP BY ALL),
 q AS (SELECT *, tp / (dt + 1e-4) AS p, tp / (gt + 1e-4) AS r FROM l),
 s AS (SELECT t AS threshold, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(dt - tp) AS BIGINT) AS fp, CAST(sum(gt - tp) AS BIGINT) AS fn, sum(CASE WHEN gt > 0 THEN dt - tp ELSE 0 END) AS pfp, avg(CASE WHEN gt > 0 AND dt > 0 THEN 2 * p * r / (p + r + 1e-4) END) AS positive_macro_f1,
+  sum(CASE WHEN gt > 0 AND dt > 0 THEN 2 * p * r / (p + r + 1e-4) ELSE 0 END) / count(*) FILTER (WHERE gt > 0) AS macro_f1_all, count(*) FILTER (WHERE gt > 0 AND dt - tp = 0 AND gt - tp = 0) / (count(*) FILTER (WHERE gt > 0) + 1e-9) AS perfect_pos,
+  count(*) FILTER (WHERE gt = 0 AND dt = 0) / (count(*) FILTER (WHERE gt = 0) + 1e-9) AS perfect_neg, avg(overlap / least(gt, dt)) FILTER (WHERE gt > 0 AND dt > 0) AS j,
   count(*) FILTER (WHERE gt > 0 AND dt > 0) AS il_tp, count(*) FILTER (WHERE gt = 0 AND dt > 0) AS il_fp, count(*) FILTER (WHERE gt > 0 AND dt = 0) AS il_fn, count(*) FILTER (WHERE gt = 0 AND dt = 0) AS il_tn FROM q GROUP BY 1),
 u AS (SELECT *, tp / (tp + fp + 1e-4) AS precision, tp / (tp + fn + 1e-4) AS recall, tp / (tp + pfp + 1e-4) AS pp, il_tp / (il_tp + il_fn + 1e-6) AS il_recall, il_tp / (il_tp + il_fp + 1e-6) AS il_precision, il_fp / (il_fp + il_tn + 1e-6) AS il_fpr FROM s),
 v AS (SELECT *, 2 * precision * recall / (precision + recall + 1e-4) AS f1, 2 * pp * recall / (pp + recall + 1e-4) AS positive_micro_f1, 2 * il_precision * il_recall / (il_precision + il_recall + 1e-6) AS il_f1,
   (CAST(il_tp AS DOUBLE) * il_tn - CAST(il_fp AS DOUBLE) * il_fn) / (sqrt(CAST(il_tp + il_fp AS DOUBLE) * (il_tp + il_fn) * (il_tn + il_fp) * (il_tn + il_fn)) + 1e-6) AS il_mcc FROM u)
-SELECT threshold, tp, fp, fn, round(positive_macro_f1, 6) AS positive_macro_f1, il_tp, il_fp, il_fn, il_tn, {", ".join(f"round({c}, 6) AS {c}" for c in ("precision", "recall", "il_recall", "il_precision", "il_fpr", "f1", "positive_micro_f1", "il_f1", "il_mcc"))}, round(positive_micro_f1 * il_mcc, 6) AS cgf1 FROM v"""
+SELECT threshold, tp, fp, fn, round(positive_macro_f1, 6) AS positive_macro_f1, il_tp, il_fp, il_fn, il_tn, {", ".join(f"round({c}, 6) AS {c}" for c in ("precision", "recall", "il_recall", "il_precision", "il_fpr", "f1", "positive_micro_f1", "il_f1", "il_mcc", "macro_f1_all", "perfect_pos", "perfect_neg", "j"))},
+  round(positive_micro_f1 * il_mcc, 6) AS cgf1, round(positive_macro_f1 * il_mcc, 6) AS cgf1_macro, round(macro_f1_all * il_mcc, 6) AS cgf1_macro_all FROM v"""
 
 
 @query("image_level_f1", _IMAGE_LEVEL)
@@ -243,14 +246,66 @@ def image_level_f1(spark, sf):
     return r.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in r.dtypes))
 
 
-@query("least_cost_matches")
-def least_cost_matches(spark, sf):
-    """Targets of training per image: the cost and number of the cheapest one-to-one matches; ties leave the pairs open, not their cost."""
+# Boxes in shares of an image of 120 by 100; a weight above 0 for every pair makes the heaviest matching the cheapest one of as many pairs as there can be.
+_SHARES = f"sh AS (SELECT image_id, n, x / 120.0::DOUBLE AS x, w / 120.0::DOUBLE AS w, y / 100.0::DOUBLE AS y, h / 100.0::DOUBLE AS h, score, category, kind FROM det)"
+_TARGETS = f"""{DET}, {_SHARES}, tg AS (
+  SELECT image_id, a.n AS g, b.n AS d, CASE WHEN a.category = b.category THEN b.score ELSE (1 - b.score) / 2 END AS prob, {_IOU} AS iou, {_IOU} - ({_HULL} - {_UNION}) / CAST({_HULL} AS DOUBLE) AS giou,
+    abs((a.x + a.w / 2) - (b.x + b.w / 2)) + abs((a.y + a.h / 2) - (b.y + b.h / 2)) + abs(a.w - b.w) + abs(a.h - b.h) AS apart
+  FROM sh a JOIN sh b USING (image_id) WHERE a.kind = 'F' AND b.kind = 'O')"""
+
+
+def _targets(spark, sf):
     p = pairs(spark, sf).withColumnsRenamed({"image_id": "image", "gn": "g", "dn": "d"})
     for c, size in (("x", 120.0), ("w", 120.0), ("y", 100.0), ("h", 100.0)):
         p = p.withColumns({f"{s}{c}": F.col(f"{s}{c}") / size for s in "gd"})
-    p = p.withColumn("prob", F.when(F.col("gcategory") == F.col("dcategory"), F.col("dscore")).otherwise((1 - F.col("dscore")) / 2))
-    return T.least_cost_pairs(p, "prob").groupBy("image").agg(F.round(F.sum("cost"), 6).alias("cost"), F.count("*").alias("n"))
+    return p.withColumn("prob", F.when(F.col("gcategory") == F.col("dcategory"), F.col("dscore")).otherwise((1 - F.col("dscore")) / 2).cast("double"))
+
+
+def _costs(cost, copies=1):  # nine digits: costs of seven, which some are, lie on the edge of six, where engines round apart
+    pw = f"co AS (SELECT image_id, g * {copies} + k AS g, d, CAST({cost} AS DOUBLE) AS cost FROM tg, generate_series(0, {copies - 1}) AS s(k)), pw AS (SELECT image_id, g, d, 50 - cost AS w FROM co)"
+    return f"WITH RECURSIVE {_TARGETS}, {pw}, {best_matching('pw', 'image_id')} SELECT image_id AS image, round(sum(cost), 9) AS cost, count(*) AS n FROM best JOIN co USING (image_id, g, d) GROUP BY 1"
+
+
+def _summed(matches):
+    return matches.groupBy("image").agg(F.round(F.sum("cost"), 9).alias("cost"), F.count("*").alias("n"))
+
+
+def _focal(p):
+    return f"0.75 * pow({p}, 2) * ln(1 - {p} + 1e-8) - 0.25 * pow(1 - {p}, 2) * ln({p} + 1e-8)"
+
+
+@query("least_cost_matches", _costs("apart - prob - giou"))
+def least_cost_matches(spark, sf):
+    """Targets of training per image: the cost and number of the cheapest one-to-one matches; ties leave the pairs open, not their cost."""
+    return _summed(T.least_cost_pairs(_targets(spark, sf), "prob"))
+
+
+@query("focal_cost_matches", _costs(f"5 * apart + 2 * ({_focal('CAST(prob AS DOUBLE)')}) - 2 * giou"))
+def focal_cost_matches(spark, sf):
+    return _summed(T.least_cost_pairs(_targets(spark, sf), "prob", (2.0, 5.0, 2.0), focal=(0.25, 2.0)))
+
+
+@query("overlap_cost_matches", _costs(f"apart + {_focal('(prob * (giou + 1) / 2)')} - giou"))
+def overlap_cost_matches(spark, sf):
+    """The focal cost of the probability times the rescaled overlap."""
+    return _summed(T.least_cost_pairs(_targets(spark, sf), "prob", focal=(0.25, 2.0), by_overlap=True))
+
+
+@query("repeated_target_matches", _costs("apart - prob - giou", 2))
+def repeated_target_matches(spark, sf):
+    """Each target may be taken twice."""
+    return _summed(T.least_cost_pairs(_targets(spark, sf), "prob", repeats=2))
+
+
+@query(
+    "one_to_many_matches",
+    f"""WITH {_TARGETS}, s AS (SELECT image_id, g, d, 0.3::DOUBLE * prob + 0.7::DOUBLE * iou AS score FROM tg), l AS (SELECT image_id, g, list_sort(list(score)) AS l, count(*) AS n FROM s GROUP BY 1, 2),
+p AS (SELECT *, greatest((1 - 2 / n) * (n - 1), 0) AS pos FROM l), q AS (SELECT image_id, g, CASE WHEN n < 2 THEN -1 ELSE l[floor(pos)::INT + 1] + (l[ceil(pos)::INT + 1] - l[floor(pos)::INT + 1]) * (pos - floor(pos)) END AS cut FROM p)
+SELECT image_id AS image, g, d, round(score, 6) AS score FROM s JOIN q USING (image_id, g) WHERE score > cut AND score > 0.25""",
+)
+def one_to_many_matches(spark, sf):
+    """Two predictions a target at most; the twin takes the quantile by its definition."""
+    return T.one_to_many_pairs(_targets(spark, sf), "prob", threshold=0.25, top=2).withColumn("score", F.round("score", 6))
 
 
 _SCORES = f"{_PRED}, sc AS (SELECT c_custkey, y, k, ((c_custkey * (k + 3)) % 97 + CASE WHEN y = k THEN 20 ELSE 0 END) / 117.0 AS s FROM pred, generate_series(0, 4) AS g(k))"

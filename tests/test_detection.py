@@ -147,3 +147,68 @@ def test_greedy_near_duplicates_equal_a_plain_loop(spark):
     df = spark.createDataFrame(list(enumerate(hashes)), "id long, h long")
     assert sorted(r.id for r in dedup.near_kept(df, "id", "h", 3).collect()) == kept
     assert dedup.near_kept(df.limit(0), "id", "h", 3).count() == 0
+
+
+def _boxes(rnd, n):
+    return [[round(rnd.random() * 0.5, 3), round(rnd.random() * 0.5, 3), round(0.1 + rnd.random() * 0.4, 3), round(0.1 + rnd.random() * 0.4, 3)] for _ in range(n)]
+
+
+_PAIR_COLUMNS = "image long, g long, d long, gx double, gy double, gw double, gh double, dx double, dy double, dw double, dh double, prob double"
+
+
+def _overlaps(r):
+    _, _, _, x, y, w, h, u, v, k, q, _ = r
+    i = max(min(x + w, u + k) - max(x, u), 0) * max(min(y + h, v + q) - max(y, v), 0)
+    hull = (max(x + w, u + k) - min(x, u)) * (max(y + h, v + q) - min(y, v))
+    union = w * h + k * q - i
+    return i / union, i / union - (hull - union) / hull
+
+
+@pytest.mark.parametrize("by_overlap,repeats", [(False, 1), (True, 1), (False, 2)])
+def test_focal_and_repeated_matches_by_trying_all(spark, by_overlap, repeats):
+    rnd, rows = random.Random(17), []
+    for i in range(5):
+        g, d = _boxes(rnd, rnd.randint(1, 2)), _boxes(rnd, rnd.randint(1, 4))
+        probs = [rnd.choice([0.0, 1.0, rnd.random()]) for _ in d]
+        rows += [(i, a, b, *g[a], *d[b], probs[b]) for a in range(len(g)) for b in range(len(d))]
+
+    def cost(r):
+        _, _, _, x, y, w, h, u, v, k, q, p = r
+        giou = _overlaps(r)[1]
+        p = p * (giou + 1) / 2 if by_overlap else p
+        focal = 0.75 * p**2 * math.log(1 - p + 1e-8) - 0.25 * (1 - p) ** 2 * math.log(p + 1e-8)
+        return abs(x + w / 2 - u - k / 2) + abs(y + h / 2 - v - q / 2) + abs(w - k) + abs(h - q) + focal - giou
+
+    found = T.least_cost_pairs(spark.createDataFrame(rows, _PAIR_COLUMNS), "prob", focal=(0.25, 2.0), by_overlap=by_overlap, repeats=repeats).collect()
+    assert len({(r.image, r.d) for r in found}) == len(found)  # a prediction has one target
+    for i in range(5):
+        mine = {(r[1] * repeats + c, r[2]): 50 - cost(r) for r in rows if r[0] == i for c in range(repeats)}
+        n, m = (1 + max(k[j] for k in mine) for j in (0, 1))
+        best = best_total(mine, n, m)
+        got = [r.cost for r in found if r.image == i]
+        assert len(got) == min(n, m) and sum(got) == pytest.approx(50 * len(best) - sum(best))
+    with pytest.raises(ValueError):
+        T.least_cost_pairs(spark.createDataFrame(rows, _PAIR_COLUMNS), "prob", repeats=0)
+
+
+@pytest.mark.parametrize("top", [1, 3])
+def test_one_to_many_pairs_by_quantiles(spark, top):
+    import numpy as np
+
+    rnd, rows = random.Random(23), []
+    for i, n in enumerate([1, 2, 3, 4, 9, 12]):
+        g, d = _boxes(rnd, 3), _boxes(rnd, n)
+        d[-1] = d[0]  # ties
+        probs = [rnd.random() for _ in d]
+        probs[-1] = probs[0]
+        rows += [(i, a, b, *g[a], *d[b], probs[b]) for a in range(3) for b in range(n)]
+    want = set()
+    for i, a in {(r[0], r[1]) for r in rows}:
+        mine = [(r[2], 0.3 * r[11] + 0.7 * _overlaps(r)[0]) for r in rows if r[:2] == (i, a)]
+        n = len(mine)
+        cut = np.quantile([s for _, s in mine], 1 - top / n) if n >= top else -1
+        want |= {(i, a, d) for d, s in mine if s > cut and s > 0.2}
+    found = T.one_to_many_pairs(spark.createDataFrame(rows, _PAIR_COLUMNS), "prob", threshold=0.2, top=top).collect()
+    assert {(r.image, r.g, r.d) for r in found} == want and len(want) > 3
+    empty = spark.createDataFrame([], _PAIR_COLUMNS)
+    assert T.one_to_many_pairs(empty, "prob").count() == 0 and T.least_cost_pairs(empty, "prob").count() == 0
