@@ -14,3 +14,12 @@ def widened(array: str, n: int, prefix: str) -> list[Column]:
 def named(df: DataFrame, prefix: str) -> list[str]:
     """Columns whose name begins with ``prefix``, in their order."""
     return [c for c in df.columns if c.startswith(prefix)]
+
+
+def rounded(c: Column, places: int) -> Column:
+    """As SQL engines on doubles round: the scaled double to the nearest whole, halves away from zero. ``F.round`` goes by the decimal digits, which differ at halves."""
+    scale = 10.0**places
+    size = F.abs(c) * scale
+    whole = F.floor(size)
+    near = F.signum(c) * (whole + F.when(size - whole >= 0.5, 1).otherwise(0)) / scale
+    return F.when(size < 2.0**52, near).otherwise(c)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import boxes as B
+from tesserae.functions.columns import rounded
 from tesserae.operators import assignment as A
 from tesserae.operators import dedup as D
 from tesserae.operators import detection as T
@@ -305,7 +306,7 @@ SELECT image_id AS image, g, d, round(score, 6) AS score FROM s JOIN q USING (im
 )
 def one_to_many_matches(spark, sf):
     """Two predictions a target at most; the twin takes the quantile by its definition."""
-    return T.one_to_many_pairs(_targets(spark, sf), "prob", threshold=0.25, top=2).withColumn("score", F.round("score", 6))
+    return T.one_to_many_pairs(_targets(spark, sf), "prob", threshold=0.25, top=2).withColumn("score", rounded(F.col("score"), 6))
 
 
 _SCORES = f"{_PRED}, sc AS (SELECT c_custkey, y, k, ((c_custkey * (k + 3)) % 97 + CASE WHEN y = k THEN 20 ELSE 0 END) / 117.0 AS s FROM pred, generate_series(0, 4) AS g(k))"
