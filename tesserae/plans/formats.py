@@ -121,7 +121,8 @@ def voc_layout(spark, sf):
     K.write_voc(boxes, path)
     listed = spark.read.text(f"{path}/ImageSets/Main/default").agg(F.count("*").cast("int").alias("listed"))
     right = F.regexp_extract_all("value", F.lit(r"<xmax>(\d+)</xmax>"), F.lit(1))
-    docs = spark.read.text(f"{path}/Annotations").select("stem", right.alias("r")).select("stem", F.size("r").cast("long").alias("objects"), F.aggregate("r", F.lit(0).cast("long"), lambda a, v: a + v.cast("long")).alias("right_edges"))
+    lines = spark.read.text(f"{path}/Annotations").select("stem", right.alias("r"))
+    docs = lines.groupBy("stem").agg(F.sum(F.size("r").cast("long")).alias("objects"), F.sum(F.aggregate("r", F.lit(0).cast("long"), lambda a, v: a + v.cast("long"))).alias("right_edges"))
     return docs.crossJoin(listed)  # one row
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.operators.lineage import settled
+
 
 def write_splits(df: DataFrame, path: str) -> None:
     """One write, a folder per split: never a pass per split."""
@@ -67,13 +69,50 @@ def write_yolo(boxes: DataFrame, path: str, names: list[str] | None = None) -> N
         put(f"{path}/data.yaml", data_yaml(names))
 
 
-def write_voc(boxes: DataFrame, path: str) -> None:
-    """``Annotations``: a folder per image stem with its document; ``ImageSets/Main/default``: the stems."""
-    docs = voc_document(boxes)
+_LARGE = 100_000  # objects of a document that a row may hold
+
+_DOCUMENT = ["stem", "width", "height"]
+
+
+def write_voc(boxes: DataFrame, path: str, large: int = _LARGE) -> None:
+    """``Annotations``: a folder per image stem with its document; ``ImageSets/Main/default``: the stems.
+
+    A document is one line. One of more than ``large`` objects is a file of its own with an object a line: its lines are sorted in ranges, written compressed beside, and a task
+    a document joins them in blocks, so neither a row nor a task holds a document.
+    """
+    of = boxes.groupBy(*_DOCUMENT).agg(F.count("*").alias("n")).where(F.col("n") > large).select(*(F.col(c).alias(f"_{c}") for c in _DOCUMENT))
+    of = settled(of)  # read twice or more
+    same = lambda d: [d[c].eqNullSafe(F.col(f"_{c}")) for c in _DOCUMENT]
+    few = of.isEmpty()
+    docs = voc_document(boxes if few else boxes.join(of, same(boxes), "left_anti"))
     docs.select("stem", F.col("xml").alias("value")).write.mode("overwrite").partitionBy("stem").text(f"{path}/Annotations")
+    if not few:
+        _write_large(boxes.join(of, same(boxes), "left_semi"), of.select(*(F.col(f"_{c}").alias(c) for c in _DOCUMENT)), f"{path}/Annotations")
     boxes.select(F.col("stem").alias("value")).distinct().write.mode("overwrite").text(f"{path}/ImageSets/Main/default")
 
 
+def _write_large(boxes: DataFrame, of: DataFrame, path: str) -> None:
+    from tesserae.sources.files import concatenated, folders, removed
+
+    line = lambda part, value: [*_DOCUMENT, F.lit(part).alias("part"), value.alias("value")]
+    ends = of.select(*line(0, _head())).unionAll(of.select(*line(2, F.lit("</annotation>"))))
+    order = [*_DOCUMENT, "part", "value"]
+    lines = boxes.select(*line(1, _thing())).unionAll(ends).repartitionByRange(*order).sortWithinPartitions(*order)
+    beside = f"{path}.large"
+    lines.select(*_DOCUMENT, "value").write.mode("overwrite").option("compression", "gzip").partitionBy(*_DOCUMENT).text(beside)
+
+    def join(batches):
+        for batch in batches:
+            for at in batch.column("at").to_pylist():
+                stem, width, height = at.split("/")
+                concatenated(path, f"{stem}/{width.partition('=')[2]}x{height.partition('=')[2]}.xml", beside, at)
+            yield batch
+
+    found = folders(beside)
+    boxes.sparkSession.createDataFrame([(at,) for at in found], "at string").repartition(len(found)).mapInArrow(join, "at string").count()
+    removed(beside)
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """Embeddings, metrics, predictions, evaluations: CSV with a header. Arrays are widened before (``functions.columns.widened``)."""
     df.write.mode("overwrite").option("header", True).csv(path)
@@ -85,11 +124,18 @@ def write_pivot(df: DataFrame, path: str) -> None:
     df.select(*cols).write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
 
 
+def _thing():
+    return F.format_string("<object><name>%s</name><bndbox><xmin>%d</xmin><ymin>%d</ymin><xmax>%d</xmax><ymax>%d</ymax></bndbox></object>", "name", F.col("x").cast("int"), F.col("y").cast("int"), (F.col("x") + F.col("w")).cast("int"), (F.col("y") + F.col("h")).cast("int"))
+
+
+def _head():
+    return F.format_string("<annotation><filename>%s</filename><size><width>%d</width><height>%d</height><depth>3</depth></size>", *_DOCUMENT)
+
+
 def voc_document(boxes: DataFrame) -> DataFrame:
     """stem, xml: boxes (stem, name, x, y, w, h, width, height) as one document per image."""
-    thing = F.format_string("<object><name>%s</name><bndbox><xmin>%d</xmin><ymin>%d</ymin><xmax>%d</xmax><ymax>%d</ymax></bndbox></object>", "name", F.col("x").cast("int"), F.col("y").cast("int"), (F.col("x") + F.col("w")).cast("int"), (F.col("y") + F.col("h")).cast("int"))
-    d = boxes.groupBy("stem", "width", "height").agg(F.array_join(F.sort_array(F.collect_list(thing)), "").alias("things"))
-    return d.select("stem", F.format_string("<annotation><filename>%s</filename><size><width>%d</width><height>%d</height><depth>3</depth></size>%s</annotation>", "stem", "width", "height", "things").alias("xml"))
+    d = boxes.groupBy(*_DOCUMENT).agg(F.array_join(F.sort_array(F.collect_list(_thing())), "").alias("things"))
+    return d.select("stem", F.concat(_head(), "things", F.lit("</annotation>")).alias("xml"))
 
 
 def write_manifest(df: DataFrame, path: str) -> None:
