@@ -78,7 +78,7 @@ def coco_round_trip(spark, sf):
     images = d.select(F.col("image_id").alias("id"), F.concat(F.lit("im"), F.col("image_id").cast("string")).alias("file_name"), F.lit(120).alias("width"), F.lit(100).alias("height")).distinct()
     cats = spark.createDataFrame([(1, "A"), (2, "N"), (3, "R")], "id long, name string")
     K.write_coco(images, anns, cats, path, corners=True)
-    i, a, c = S.coco(spark, path)
+    i, a, c = S.coco(spark, path, lines=True)
     named_ = a.join(c.select(F.col("id").alias("category_id"), "name"), "category_id").join(i.select(F.col("id").alias("image_id"), "file_name"), "image_id")
     return named_.groupBy("image_id", "file_name").agg(F.count("*").alias("n"), F.sum("area").alias("area"), F.sum(F.get("bbox", F.lit(2))).alias("right_edges"), F.min("name").alias("least"))
 

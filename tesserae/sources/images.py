@@ -56,10 +56,25 @@ def pixel_md5(images: DataFrame) -> DataFrame:
     return images.select("path", F.md5("bytes").alias("md5"))
 
 
-def coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Images, annotations and categories of COCO documents."""
-    d = spark.read.schema(COCO).option("multiLine", True).json(path)
-    return tuple(d.select(F.explode(c).alias("x")).select("x.*") for c in ("images", "annotations", "categories"))
+def coco(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Images, annotations and categories of COCO documents. A document is read whole by one task; with ``lines``, which takes documents as ``sinks.write_coco`` lays them
+    out (a record a line), tasks share it."""
+    names = ("images", "annotations", "categories")
+    if not lines:
+        d = spark.read.schema(COCO).option("multiLine", True).json(path)
+        return tuple(d.select(F.explode(c).alias("x")).select("x.*") for c in names)
+    d, value = spark.read.option("lineSep", "\n").text(path), F.col("value")
+    frame = ['{"images": [', '], "annotations": [', '], "categories": [', "]}"]
+
+    def records(k: int) -> DataFrame:
+        at = [value.startswith(" " * (n + 1) + "{") for n in range(len(names))]
+        known = at[0] | at[1] | at[2] | value.isin(*frame)
+        mine = F.when(at[k], True).when(known, False).otherwise(F.raise_error(F.concat(F.lit("no record on this line of a COCO document: "), F.substring(value, 1, 80))).cast("boolean"))
+        own = F.when(at[k], F.rtrim(value, F.lit(",")))  # a plan may read a record before it leaves other lines out
+        x = F.from_json(own, COCO[names[k]].dataType.elementType, {"mode": "FAILFAST"})
+        return d.where(mine).select(x.alias("x")).select("x.*")
+
+    return tuple(records(k) for k in range(len(names)))
 
 
 def results(predictions: DataFrame, images: DataFrame) -> DataFrame:
