@@ -79,8 +79,9 @@ def coco_round_trip(spark, sf):
     cats = spark.createDataFrame([(1, "A"), (2, "N"), (3, "R")], "id long, name string")
     K.write_coco(images, anns, cats, path, corners=True)
     i, a, c = S.coco(spark, path, lines=True)
-    named_ = a.join(c.select(F.col("id").alias("category_id"), "name"), "category_id").join(i.select(F.col("id").alias("image_id"), "file_name"), "image_id")
-    return named_.groupBy("image_id", "file_name").agg(F.count("*").alias("n"), F.sum("area").alias("area"), F.sum(F.get("bbox", F.lit(2))).alias("right_edges"), F.min("name").alias("least"))
+    named_ = a.join(F.broadcast(c.select(F.col("id").alias("category_id"), "name")), "category_id")  # three rows
+    per = named_.groupBy("image_id").agg(F.count("*").alias("n"), F.sum("area").alias("area"), F.sum(F.get("bbox", F.lit(2))).alias("right_edges"), F.min("name").alias("least"))
+    return per.join(i.select(F.col("id").alias("image_id"), "file_name"), "image_id").select("image_id", "file_name", "n", "area", "right_edges", "least")
 
 
 @query("result_records", f"WITH {DET}, r AS (SELECT *, row_number() OVER (ORDER BY image_id, score DESC, category, x, y, w, h) AS id FROM det) SELECT id, image_id, w * h * 1.0 AS area FROM r")

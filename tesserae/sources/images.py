@@ -72,7 +72,7 @@ def coco(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame
         mine = F.when(at[k], True).when(known, False).otherwise(F.raise_error(F.concat(F.lit("no record on this line of a COCO document: "), F.substring(value, 1, 80))).cast("boolean"))
         own = F.when(at[k], F.rtrim(value, F.lit(",")))  # a plan may read a record before it leaves other lines out
         x = F.from_json(own, COCO[names[k]].dataType.elementType, {"mode": "FAILFAST"})
-        return d.where(mine).select(x.alias("x")).select("x.*")
+        return d.where(mine).select(F.inline(F.array(x)))  # filters on fields stay above, so a line is parsed once
 
     return tuple(records(k) for k in range(len(names)))
 

@@ -29,7 +29,7 @@ def coco_document(images: DataFrame, annotations: DataFrame, categories: DataFra
 
 
 def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str, corners: bool = False) -> None:
-    """One COCO file of tables of any size: executors write each table as JSON lines, compressed, beside it, and the driver joins those files by streaming them, one block at a time.
+    """One COCO file of tables of any size: executors write each table as JSON lines beside it, and the driver joins those files by streaming them, one block at a time.
 
     A record has a line of its own, so tasks can share the file (``images.coco`` with ``lines``)."""
     from tesserae.sources.files import joined
@@ -39,7 +39,7 @@ def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame,
         annotations = annotations.withColumn("bbox", F.array(x, y, x + w, y + h))
     parts = {"images": images, "annotations": annotations, "categories": categories}
     for name, d in parts.items():
-        d.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").option("compression", "gzip").text(f"{path}.{name}")
+        d.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(f"{path}.{name}")
     joined(path, {name: f"{path}.{name}" for name in parts})
 
 
